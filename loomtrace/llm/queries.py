@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import bpe, langid, neardup, substrings
+from loomtrace.llm import bpe, decontaminate, fingerprint, langid, lines, neardup, substrings
 from loomtrace.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,11 +43,43 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(table(spark, sf_dir, "documents"))
 
 
+@query("op4_fingerprints")
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op5_near_duplicates")
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("check")
 
 
+@query(
+    "op7_lines",
+    """
+    WITH l AS (SELECT doc_id, coalesce(text, '') AS text, string_split(text, chr(10)) AS ls FROM documents),
+    w AS (SELECT doc_id, unnest(range(1, len(ls) - 1)) AS i, ls FROM l WHERE len(ls) >= 3),
+    k AS (SELECT doc_id, i, ls[i] || chr(10) || ls[i + 1] || chr(10) || ls[i + 2] AS t FROM w),
+    r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS n FROM k WHERE regexp_matches(t, '[^ \t\r\n\x0b\x0c]')),
+    m AS (SELECT DISTINCT doc_id, i + d AS i FROM r, (SELECT unnest([0, 1, 2]) AS d) WHERE n > 1),
+    g AS (SELECT doc_id, list(i) AS gone FROM m GROUP BY doc_id)
+    SELECT l.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
+           sha256(CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(
+               [ls[j] FOR j IN range(1, len(ls) + 1) IF NOT list_contains(gone, j)], chr(10)), '') END) AS kept_sha256
+    FROM l LEFT JOIN g ON l.doc_id = g.doc_id
+    """,
+)
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), kept.alias("kept_sha256"))
+
+
+@query("op8_decontaminate")
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "matched", "reworded")
+
+
 @query("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
