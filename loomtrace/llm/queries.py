@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import bpe, decontaminate, fingerprint, langid, lines, neardup, substrings
-from loomtrace.llm.common import crc_mod, table
+from loomtrace.llm import bpe, decontaminate, fingerprint, html, langid, lines, neardup, substrings, warc
+from loomtrace.llm.common import crc_mod, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, ["doc_id", "held_out"])
 
 
+@query("op2_html")
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 @query("op3_substrings")
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(table(spark, sf_dir, "documents"))
@@ -53,6 +58,28 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("check")
 
 
+@query(
+    "op6_warc",
+    """
+    WITH f AS (SELECT greatest(1, (coalesce(sum(strlen(html)), 0) + 8388607) // 8388608) AS n FROM pages),
+    r AS (SELECT page_id, page_id % f.n AS file, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+            || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Date: 2020-01-01T00:00:00Z' || chr(13) || chr(10)
+            || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+            || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+            || chr(13) || chr(10) || chr(13) || chr(10) AS t FROM pages, f),
+    d AS (SELECT page_id, file::BIGINT AS file, strlen(t)::BIGINT AS length, sha256('leaf:' || t) AS digest FROM r)
+    SELECT page_id, file, row_number() OVER w - 1 AS place, (sum(length) OVER w - length)::BIGINT AS "offset", length, digest,
+           CASE page_id % 97 WHEN 0 THEN 'missing' WHEN 1 THEN 'corrupt' ELSE 'ok' END AS status
+    FROM d WINDOW w AS (PARTITION BY file ORDER BY page_id, digest ROWS UNBOUNDED PRECEDING)
+    """,
+)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    layout, _ = written(warc.manifest(pages), "layout")
+    found = warc.fixity(layout, warc.damaged(pages, layout))
+    return found.withColumnRenamed("id", "page_id")
+
+
 @query(
     "op7_lines",
     """
