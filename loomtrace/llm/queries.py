@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import bpe, decontaminate, fingerprint, html, langid, lines, neardup, substrings, warc
+from loomtrace.llm import bpe, decontaminate, fingerprint, html, langid, lines, neardup, quality, substrings, warc
 from loomtrace.llm.common import crc_mod, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)))
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
+    model = quality.train(docs.where(~F.col("held_out")), labels)
+    scored = quality.predict(docs, model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
