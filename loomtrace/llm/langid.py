@@ -174,8 +174,10 @@ def fit(texts: list[str], langs: list[str], s: Settings = Settings()) -> Model |
     loss = [-np.log(np.clip(_softmax(logits / t)[np.arange(len(check)), truth], 1e-12, None)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
     best = _softmax(logits / temperature).max(axis=1)
-    # Reject no more than the given share of texts of the languages known; never above an even chance.
-    threshold = float(min(0.5, np.quantile(best, s.reject)))
+    # Split-conformal: a text of the languages known is rejected with at most the given chance, so
+    # a sample too small to tell rejects none; never above an even chance.
+    rank = int(s.reject * (len(best) + 1))
+    threshold = float(min(0.5, np.sort(best)[rank - 1])) if rank else 0.0
     return Model(names, weights, bias, temperature, threshold, s)
 
 
