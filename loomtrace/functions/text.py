@@ -8,6 +8,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values.
 WH_WORDS = ("why", "how", "what", "where", "when", "who", "which", "whose", "whom")
@@ -39,7 +40,7 @@ def is_html(x: Column) -> Column:
     return x.rlike(r"<[^>]+>")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ascii_fold(x: pd.Series) -> pd.Series:
     """NFKC, trimmed, accents dropped. Signs without an ASCII form stay."""
 
