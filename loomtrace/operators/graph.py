@@ -14,13 +14,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions import vocabulary as V
 from loomtrace.functions.text import is_clause
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder; kept in memory only where none is set."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.cache()
+from loomtrace.operators.state import cut
 
 
 def subjects(edges: DataFrame) -> DataFrame:
@@ -85,17 +79,17 @@ def edge_dictionary(edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, start: DataFrame, depth: int | None = None, forward: bool = True) -> DataFrame:
     """(node, depth) of all nodes within ``depth`` steps of start(node), itself included; all without a depth."""
     steps = edges.select(F.col("s").alias("node"), F.col("o").alias("to")) if forward else edges.select(F.col("o").alias("node"), F.col("s").alias("to"))
-    seen = _cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
     front, n = seen, 0
     while depth is None or n < depth:
         n += 1
         found = front.join(steps, "node").select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = _cut(found.withColumn("depth", F.lit(n)))
+        front = cut(found.withColumn("depth", F.lit(n)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
         if n % 5 == 0:
-            seen = _cut(seen)
+            seen = cut(seen)
     return seen
 
 
@@ -126,13 +120,13 @@ def connected_components(pairs: DataFrame) -> DataFrame:
     round halves the distance to it; rounds stop when no label changes.
     """
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    labels = _cut(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
-    both = _cut(both)
+    labels = cut(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
+    both = cut(both)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
         own = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "c").alias("component"), F.col("component").alias("old"))
         jump = own.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        after = _cut(own.join(jump, own["component"] == jump["at"]).select("node", F.col("further").alias("component"), "old"))
+        after = cut(own.join(jump, own["component"] == jump["at"]).select("node", F.col("further").alias("component"), "old"))
         moved = not after.where("component <> old").isEmpty()
         labels = after.select("node", "component")
         if not moved:
@@ -152,33 +146,33 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     Nodes without way in or out are trimmed first. Then every open node gets the smallest node that
     reaches it; those that also reach their label back are that label's component, and the rest go on.
     """
-    steps = _cut(edges.select("s", "o").where("s <> o").distinct())
-    nodes = _cut(edges.select(F.col("s").alias("node")).union(edges.select("o")).distinct())
+    steps = cut(edges.select("s", "o").where("s <> o").distinct())
+    nodes = cut(edges.select(F.col("s").alias("node")).union(edges.select("o")).distinct())
     done = nodes.limit(0).withColumn("component", F.col("node"))
     while not nodes.isEmpty():
-        inner = _cut(steps.join(nodes.select(F.col("node").alias("s")), "s", "left_semi").join(nodes.select(F.col("node").alias("o")), "o", "left_semi"))
+        inner = cut(steps.join(nodes.select(F.col("node").alias("s")), "s", "left_semi").join(nodes.select(F.col("node").alias("o")), "o", "left_semi"))
         core = inner.select("s").intersect(inner.select("o")).select(F.col("s").alias("node"))
-        loose = _cut(nodes.join(core, "node", "left_anti"))
+        loose = cut(nodes.join(core, "node", "left_anti"))
         if not loose.isEmpty():
             done = done.unionByName(loose.withColumn("component", F.col("node")))
-            nodes = _cut(nodes.join(loose, "node", "left_anti"))
+            nodes = cut(nodes.join(loose, "node", "left_anti"))
             continue
         label = _spread(inner, nodes.withColumn("label", F.col("node")))
         # Within one label, walk back from the label itself.
         same = inner.join(label.select(F.col("node").alias("s"), F.col("label").alias("x")), "s").join(label.select(F.col("node").alias("o"), F.col("label").alias("y")), "o").where("x = y").select("s", "o")
         back = reachable(same.withColumn("p", F.lit("")), label.where("node = label").select("node"), forward=False)
-        found = _cut(back.join(label, "node").select("node", F.col("label").alias("component")))
+        found = cut(back.join(label, "node").select("node", F.col("label").alias("component")))
         done = done.unionByName(found)
-        nodes = _cut(nodes.join(found, "node", "left_anti"))
+        nodes = cut(nodes.join(found, "node", "left_anti"))
     return done
 
 
 def _spread(steps: DataFrame, labels: DataFrame) -> DataFrame:
     """The smallest label that reaches each node along the steps."""
-    labels = _cut(labels)
+    labels = cut(labels)
     while True:
         came = steps.join(labels.select(F.col("node").alias("s"), F.col("label").alias("l")), "s").groupBy("o").agg(F.min("l").alias("l"))
-        after = _cut(labels.join(came, labels["node"] == came["o"], "left").select("node", F.least("label", "l").alias("label"), F.col("label").alias("old")))
+        after = cut(labels.join(came, labels["node"] == came["o"], "left").select("node", F.least("label", "l").alias("label"), F.col("label").alias("old")))
         moved = not after.where("label <> old").isEmpty()
         labels = after.select("node", "label")
         if not moved:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.functions.text import answer_block, count_tokens
+from loomtrace.operators.state import cut
 from loomtrace.operators.ordered import budget_prefix, first_seen, top_per_group
 from loomtrace.operators.vectors import top_k
 
@@ -102,7 +103,8 @@ def macroplan(questions: DataFrame, extra: DataFrame, chunks: DataFrame, n: int,
         return base.join(questions.select("question", "topic", "q_ord"), "question")
     both = questions.select("topic", "query_id", "question", "q", "q_ord").unionByName(extra.select("topic", "query_id", "question", "q", "q_ord"))
     distinct = first_seen(both.withColumn("_fold", F.lower("question")), ["topic", "_fold"], [F.col("q_ord")]).drop("_fold")
-    answers = ask(distinct, chunks, threshold, horizon).join(distinct.select("question", "topic", "q_ord"), "question")
-    best = best_question(merge_contained(answers))
+    # Answers are few for each question and feed several joins: compute them once.
+    answers = cut(ask(distinct, chunks, threshold, horizon).join(distinct.select("question", "topic", "q_ord"), "question"))
+    best = cut(best_question(merge_contained(answers)))
     kept = top_questions(best, n, ["topic"])
     return best.join(kept.select("topic", "question"), ["topic", "question"], "left_semi")
