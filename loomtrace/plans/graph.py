@@ -134,14 +134,14 @@ def scc(spark, sf):
     "paths_to_target",
     f"""
     WITH RECURSIVE {_SMALL},
-    f(node) AS (SELECT 3::BIGINT UNION SELECT small.o FROM f JOIN small ON small.s = f.node),
-    b(node) AS (SELECT 8::BIGINT UNION SELECT small.s FROM b JOIN small ON small.o = b.node)
+    f(node) AS (SELECT 5::BIGINT UNION SELECT small.o FROM f JOIN small ON small.s = f.node),
+    b(node) AS (SELECT 2::BIGINT UNION SELECT small.s FROM b JOIN small ON small.o = b.node)
     SELECT s, 'to' AS p, o FROM small WHERE s IN (SELECT node FROM f) AND o IN (SELECT node FROM b)
     """,
 )
 def paths_to_target(spark, sf):
     one = lambda n: spark.createDataFrame([(n,)], "node long")
-    return G.on_paths(small_graph(spark, sf), one(3), one(8))
+    return G.on_paths(small_graph(spark, sf), one(5), one(2))
 
 
 @query(
