@@ -63,7 +63,7 @@ def clean_content(x: Column, remove_footnote: bool = False, remove_newlines: boo
         rules.append((r"\n+", " "))
     for pattern, to in rules:
         x = F.regexp_replace(x, pattern, to)
-    return F.trim(x)
+    return F.regexp_replace(x, r"^[ \n]+|[ \n]+$", "")
 
 
 def strip_tags(x: Column) -> Column:
