@@ -12,10 +12,17 @@ from pyspark.sql.types import StringType
 
 # Fixed values.
 WH_WORDS = ("why", "how", "what", "where", "when", "who", "which", "whose", "whom")
-EDU_PHRASES = ("what is an example", "what is contrasted", "what is the reason", "what is the result", "in what manner", "under what condition", "what is similar", "despite what", "after what", "before what", "instead of what")
+EDU_PHRASES = ("despite what", "after what", "in what manner", "while what", "in what case", "before what", "since when", "until when", "instead of what", "except when", "unless what")
 NUMBER = r"^-?\d+(\.\d+)?(e[-+]?\d+)?$"
 CLAUSE = "{obj}"
-LANGUAGES = {"en": "english", "fr": "french", "de": "german", "es": "spanish", "it": "italian", "pt": "portuguese", "nl": "dutch", "pl": "polish", "ru": "russian", "sv": "swedish", "tr": "turkish"}
+# Codes of a language detector and their names.
+LANGUAGES = {
+    "af": "Afrikaans", "ar": "Arabic", "bg": "Bulgarian", "bn": "Bengali", "ca": "Catalan", "cs": "Czech", "cy": "Welsh", "da": "Danish", "de": "German", "el": "Greek", "en": "English",
+    "es": "Spanish", "et": "Estonian", "fa": "Persian", "fi": "Finnish", "fr": "French", "gu": "Gujarati", "he": "Hebrew", "hi": "Hindi", "hr": "Croatian", "hu": "Hungarian", "id": "Indonesian",
+    "it": "Italian", "ja": "Japanese", "kn": "Kannada", "ko": "Korean", "lt": "Lithuanian", "lv": "Latvian", "mk": "Macedonian", "ml": "Malayalam", "mr": "Marathi", "ne": "Nepali", "nl": "Dutch",
+    "no": "Norwegian", "pa": "Punjabi", "pl": "Polish", "pt": "Portuguese", "ro": "Romanian", "ru": "Russian", "sk": "Slovak", "sl": "Slovenian", "so": "Somali", "sq": "Albanian", "sv": "Swedish",
+    "sw": "Swahili", "ta": "Tamil", "te": "Telugu", "th": "Thai", "tl": "Tagalog", "tr": "Turkish", "uk": "Ukrainian", "ur": "Urdu", "vi": "Vietnamese", "zh-cn": "Chinese", "zh-tw": "Chinese",
+}
 
 
 def is_number(x: Column) -> Column:
@@ -54,16 +61,22 @@ def ascii_fold(x: pd.Series) -> pd.Series:
 
 
 def clean_content(x: Column, remove_footnote: bool = False, remove_newlines: bool = False) -> Column:
-    """White space, hyphen breaks and wrapped lines repaired by ordered rewrites."""
-    rules = [(r"\r\n?", "\n"), (r"\t", " "), (r"[ \xA0]+", " "), (r" *\n *", "\n"), (r"\n\n+", "\n\n"), (r"(\p{L})-\n(\p{Ll})", "$1$2")]
-    if remove_footnote:
-        rules.append((r"\n[^\n]*[^\n.]$", ""))
-    rules.append((r"([^\n.])\n([^\n])", "$1 $2"))
-    if remove_newlines:
-        rules.append((r"\n+", " "))
+    """White space, hyphen breaks and wrapped lines repaired by ordered rewrites.
+
+    With ``remove_footnote`` a text that doesn't end in a full stop loses its last line.
+    """
+    # Patterns and what they become.
+    first = [(r"^\s+|\s+$", ""), (r"[\r ]*\n[\r ]*", "\n"), (r"\t", " "), (r"  +", " ")]
+    breaks = [(r"\(cid:173\) *\n+", ""), (r"- *\n+", "")]
+    paragraphs = [(r"([^A-Z\n ])\n\n([^A-Z\n ])", "$1\n$2"), (r"([^\n.])\n([^\n])", "$1 $2")]
+    rules = [*first, *([] if remove_newlines else [(r"\n\n+", "\n\n")]), *breaks]
     for pattern, to in rules:
         x = F.regexp_replace(x, pattern, to)
-    return F.regexp_replace(x, r"^[ \n]+|[ \n]+$", "")
+    if remove_footnote:
+        x = F.when(x.endswith("."), x).otherwise(F.regexp_replace(x, r"(^|\n)[^\n]*$", ""))
+    for pattern, to in [*([(r"\n+", " ")] if remove_newlines else paragraphs), (r" +", " ")]:
+        x = F.regexp_replace(x, pattern, to)
+    return x
 
 
 def strip_tags(x: Column) -> Column:

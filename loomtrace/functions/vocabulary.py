@@ -10,4 +10,4 @@ PREFIXES = {
 }
 LABEL, SUBCLASS, TYPE = "rdfs:label", "rdfs:subClassOf", "rdf:type"
 DOC, PAGE, LANGUAGE, PARAGRAPH, SPAN, SENTENCE = "my:docID", "my:page_id", "my:language_id", "my:paraID", "my:spanID", "my:sentID"
-SENTENCE_LABEL, CONTENT, VERB, SAME, SYNSET, CAN_BE, ABSTRACT = "my:sentLabel", "my:content", "my:verb", "my:same", "my:inSynset", "my:canBe", "my:abstract"
+SENTENCE_LABEL, CONTENT, VERB, SAME, SYNSET, CAN_BE, ABSTRACT = "my:sentLabel", "my:content", "my:verb", "my:same", "my:inSynset", "my:canBe", "dbo:abstract"

@@ -162,10 +162,10 @@ def balance_brackets(spark, sf):
 @query(
     "clean_text",
     r"""
-    WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\t', ' ', 'g'), '[ \x{A0}]+', ' ', 'g') AS t FROM documents),
-    b AS (SELECT doc_id, regexp_replace(regexp_replace(t, ' *\n *', chr(10), 'g'), '\n\n+', chr(10) || chr(10), 'g') AS t FROM a),
-    c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(\p{L})-\n(\p{Ll})', '\1\2', 'g'), '([^\n.])\n([^\n])', '\1 \2', 'g') AS t FROM b)
-    SELECT doc_id, trim(regexp_replace(t, '\n+', ' ', 'g')) AS t FROM c
+    WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[\r ]*\n[\r ]*', chr(10), 'g') AS t FROM documents),
+    b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\t', ' ', 'g'), '  +', ' ', 'g') AS t FROM a),
+    c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\(cid:173\) *\n+', '', 'g'), '- *\n+', '', 'g') AS t FROM b)
+    SELECT doc_id, regexp_replace(regexp_replace(t, '\n+', ' ', 'g'), ' +', ' ', 'g') AS t FROM c
     """,
 )
 def clean_text(spark, sf):
@@ -191,7 +191,7 @@ def html_paragraphs(spark, sf):
     WITH l AS (SELECT conv_id, turn, unnest(string_split('1. ' || replace(text, '. ', '? - '), chr(10))) AS line FROM conversations),
     c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(line, '^\s*(\d+\.|\(\w+\)|\w\)|\d+\)|\d*\-|\w\-)\s*', ''), '\?\s*-', '?', 'g') AS line FROM l),
     p AS (SELECT conv_id, turn, string_split(line, '?') AS p FROM c)
-    SELECT conv_id, turn, trim(p[1]) || '?' AS question, trim(p[2]) AS answer, CASE WHEN regexp_matches(lower(p[1]), 'what is the reason|despite what') THEN 'edu' ELSE 'amr' END AS type FROM p WHERE len(p) = 2
+    SELECT conv_id, turn, trim(p[1]) || '?' AS question, trim(p[2]) AS answer, CASE WHEN regexp_matches(lower(p[1]), 'despite what|after what|in what manner|while what|in what case|before what|since when|until when|instead of what|except when|unless what') THEN 'edu' ELSE 'amr' END AS type FROM p WHERE len(p) = 2
     """,
 )
 def qa_line_parse(spark, sf):
