@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrace.operators import planner
+from loomtrace.operators.ordered import token_windows
 from loomtrace.operators.vectors import hashed_vector
 from loomtrace.plans.catalogue import query, table
 
@@ -59,7 +60,7 @@ def top_n_groups_by_first(spark, sf):
 @query(
     "merge_contained_answers",
     """
-    WITH a AS (SELECT user_id AS question, event_id AS rank, repeat('x', (event_id % 7 + 1)::INTEGER) || ' y ' || repeat('z', (user_id % 4)::INTEGER) AS sentence FROM events WHERE event_id < 400),
+    WITH a AS (SELECT user_id AS question, event_id AS rank, repeat('x', (event_id % 7 + 1)::INTEGER) || ' y ' || repeat('z', (user_id % 4)::INTEGER) AS sentence FROM events),
     s AS (SELECT DISTINCT sentence FROM a),
     b AS (SELECT x.sentence, arg_min(y.sentence, {'n': -length(y.sentence), 's': y.sentence}) AS best FROM s x JOIN s y ON y.sentence <> x.sentence AND contains(y.sentence, x.sentence) GROUP BY x.sentence),
     m AS (SELECT question, rank, coalesce(best, a.sentence) AS sentence FROM a LEFT JOIN b USING (sentence))
@@ -68,7 +69,7 @@ def top_n_groups_by_first(spark, sf):
 )
 def merge_contained_answers(spark, sf):
     text = F.concat(F.expr("repeat('x', cast(event_id % 7 + 1 AS int))"), F.lit(" y "), F.expr("repeat('z', cast(user_id % 4 AS int))"))
-    rows = table(spark, sf, "events").where("event_id < 400").select(F.col("user_id").alias("question"), F.col("event_id").alias("rank"), text.alias("sentence"))
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("question"), F.col("event_id").alias("rank"), text.alias("sentence"))
     return planner.merge_contained(rows).select("question", "rank", "sentence")
 
 
@@ -88,7 +89,11 @@ def prompt_contents(spark, sf):
 @query("macroplan")
 def macroplan(spark, sf):
     words = lambda t: F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    items = table(spark, sf, "benchmark").select(F.pmod("item_id", F.lit(8)).alias("topic"), F.col("item_id").alias("query_id"), F.col("text").alias("question"), hashed_vector(words(F.col("text"))).alias("q"), F.col("item_id").alias("q_ord"))
-    docs = table(spark, sf, "documents").select(F.col("doc_id"), F.substring_index("text", "\n", 3).alias("text"), F.lit("1").alias("page_id"))
-    chunks = docs.withColumn("v", hashed_vector(words(F.col("text"))))
-    return planner.macroplan(items.where("query_id < 8"), items.where("query_id >= 8"), chunks, 2, 0.3).select("topic", "question", "rank", "sentence", "confidence")
+    k = F.col("item_id")
+    # Every twentieth item is a question; the ones up to the next are its further questions.
+    items = table(spark, sf, "benchmark").select(F.floor(k / 20).alias("topic"), k.alias("query_id"), F.col("text").alias("question"), hashed_vector(words(F.col("text"))).alias("q"), k.alias("q_ord"))
+    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(token_windows(F.split("text", " ", -1))).alias("i", "part"))
+    name = F.concat_ws("-", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("i").cast("string"), 6, "0"))
+    chunks = docs.select(name.alias("doc_id"), F.array_join("part", " ").alias("text"), (F.floor(F.col("i") / 4) + 1).cast("string").alias("page_id"))
+    chunks = chunks.withColumn("v", hashed_vector(words(F.col("text"))))
+    return planner.macroplan(items.where("query_id % 20 = 0"), items.where("query_id % 20 <> 0"), chunks, 5, 0.55).select("topic", "question", "rank", "sentence", "confidence")

@@ -10,17 +10,17 @@ from loomtrace.plans.retrieval import _COS, _items
 
 _BEST = f"""
     best AS (SELECT q.vec_id AS fact_id, q.label, d.vec_id AS source_id, {_COS.format(a='q.embedding', b='d.embedding')} AS score FROM embeddings q, embeddings d
-      WHERE q.vec_id % 2 = 0 AND d.vec_id % 2 = 1 AND {_COS.format(a='q.embedding', b='d.embedding')} >= 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, d.vec_id) = 1)
+      WHERE q.label >= 5 AND d.label < 5 AND {_COS.format(a='q.embedding', b='d.embedding')} >= 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, d.vec_id) = 1)
 """
 
 
 def _support(spark, sf):
     items = _items(spark, sf)
-    facts = items.where("id % 2 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    return scoring.support(facts, items.where("id % 2 = 1").select(F.col("id").alias("doc_id"), "v"))
+    facts = items.where("label >= 5").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return scoring.support(facts, items.where("label < 5").select(F.col("id").alias("doc_id"), "v"))
 
 
-@query("best_support_per_fact", f"WITH {_BEST} SELECT e.vec_id AS fact_id, source_id, score FROM embeddings e LEFT JOIN best ON fact_id = vec_id WHERE vec_id % 2 = 0")
+@query("best_support_per_fact", f"WITH {_BEST} SELECT e.vec_id AS fact_id, source_id, score FROM embeddings e LEFT JOIN best ON fact_id = vec_id WHERE e.label >= 5")
 def best_support_per_fact(spark, sf):
     return _support(spark, sf)
 
@@ -105,10 +105,10 @@ def mann_whitney_u(spark, sf):
 
 @query(
     "cliffs_delta",
-    "SELECT round((count(*) FILTER (a.v > b.v) - count(*) FILTER (a.v < b.v)) / count(*), 9) AS delta FROM (SELECT o_totalprice AS v FROM orders WHERE o_orderstatus = 'F' AND o_orderkey < 3000) a, (SELECT o_totalprice AS v FROM orders WHERE o_orderstatus = 'O' AND o_orderkey < 3000) b",
+    "SELECT round((count(*) FILTER (a.v > b.v) - count(*) FILTER (a.v < b.v)) / count(*), 9) AS delta FROM (SELECT o_totalprice AS v FROM orders WHERE o_orderstatus = 'F') a, (SELECT o_totalprice AS v FROM orders WHERE o_orderstatus = 'O') b",
 )
 def cliffs_delta(spark, sf):
-    rows = table(spark, sf, "orders").where((F.col("o_orderkey") < 3000) & F.col("o_orderstatus").isin("F", "O")).select("o_orderstatus", "o_totalprice")
+    rows = table(spark, sf, "orders").where(F.col("o_orderstatus").isin("F", "O")).select("o_orderstatus", "o_totalprice")
     return scoring.cliffs_delta(rows, "o_totalprice", F.col("o_orderstatus") == "F").select(F.round("delta", 9).alias("delta"))
 
 
@@ -157,7 +157,7 @@ def group_means_pivot(spark, sf):
 @query(
     "study_filter_all_ten",
     """
-    WITH e AS (SELECT user_id, event_id, CASE event_id % 3 WHEN 0 THEN 'java' WHEN 1 THEN 'python' ELSE 'other' END AS topic, event_id % 97 + 20 AS secs, 8 + event_id % 3 AS a, 8 + (event_id // 3) % 3 AS b FROM events WHERE event_id % 4 = 0),
+    WITH e AS (SELECT user_id, event_id, CASE event_id % 3 WHEN 0 THEN 'java' WHEN 1 THEN 'python' ELSE 'other' END AS topic, event_id % 97 + 20 AS secs, 8 + event_id % 3 AS a, 8 + (event_id // 3) % 3 AS b FROM events),
     f AS (SELECT * FROM e WHERE topic <> 'other')
     SELECT user_id AS username, count(*)::INTEGER AS evaluations, sum(secs)::BIGINT AS seconds FROM f GROUP BY user_id
     HAVING sum(secs) >= 360 AND NOT (sum(CASE WHEN a = 10 AND b = 10 THEN 1 ELSE 0 END) >= count(*)) AND user_id % 5 <> 0
@@ -168,7 +168,7 @@ def study_filter_all_ten(spark, sf):
     dictionary = F.create_map(F.lit("Relevance"), F.create_map(F.lit("RAG"), (8 + k % 3).cast("int"), F.lit("GenAI"), (8 + F.floor(k / 3) % 3).cast("int")))
     topic = F.when(k % 3 == 0, "java").when(k % 3 == 1, "python").otherwise("other")
     one = F.struct(k.cast("string").alias("question"), topic.alias("topic"), dictionary.alias("evaluation_dict"), (k % 97 + 20).cast("int").alias("elapsed_seconds"))
-    rows = table(spark, sf, "events").where("event_id % 4 = 0").groupBy(F.col("user_id").alias("username")).agg(F.collect_list(one).alias("evaluation_list"))
+    rows = table(spark, sf, "events").groupBy(F.col("user_id").alias("username")).agg(F.collect_list(one).alias("evaluation_list"))
     rows = rows.withColumn("qualitative_feedback", F.when(F.col("username") % 5 == 0, "").otherwise("fine"))
     kept = scoring.study_rows(rows, ["java", "python"])
     return kept.select("username", F.size("evaluation_list").alias("evaluations"), F.aggregate("evaluation_list", F.lit(0).cast("long"), lambda s, e: s + e["elapsed_seconds"]).alias("seconds"))

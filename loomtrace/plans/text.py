@@ -22,10 +22,10 @@ def stopword_filter(spark, sf):
     return words.where(~F.col("word").isin("the", "of", "and", "to", "in", "is", "")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("wh_filter", "SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE NOT regexp_matches(w, '(?i)^(why|how|what|where|when|who|which|whose|whom)') AND len(w) = 5 GROUP BY w")
+@query("wh_filter", "SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE NOT regexp_matches(w, '(?i)^(why|how|what|where|when|who|which|whose|whom)') GROUP BY w")
 def wh_filter(spark, sf):
     words = table(spark, sf, "documents").select(F.explode(F.split("text", " ", -1)).alias("word"))
-    return words.where(T.is_not_wh_word(F.col("word")) & (F.length("word") == 5)).groupBy("word").agg(F.count("*").alias("n"))
+    return words.where(T.is_not_wh_word(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query("number_filter", r"SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \n]')) AS w FROM documents) WHERE regexp_matches(w, '^-?\d+(\.\d+)?(e[-+]?\d+)?$') GROUP BY w")
@@ -98,16 +98,14 @@ def levenshtein_similar(spark, sf):
 @query(
     "most_similar_label",
     """
-    WITH n AS (SELECT DISTINCT p_name FROM part), s AS (SELECT s_name FROM supplier WHERE s_suppkey < 5 UNION ALL SELECT 'red bolt' UNION ALL SELECT 'large wigdet')
-    SELECT s_name, arg_min(p_name, {'d': levenshtein(s_name, p_name), 'p': p_name}) AS best FROM s, n GROUP BY s_name
+    WITH n AS (SELECT DISTINCT p_brand, p_name FROM part), s AS (SELECT DISTINCT p_brand, lower(p_type) AS label FROM part)
+    SELECT p_brand, label, arg_min(p_name, {'d': levenshtein(label, p_name), 'p': p_name}) AS best FROM s JOIN n USING (p_brand) GROUP BY p_brand, label
     """,
 )
 def most_similar_label(spark, sf):
-    names = table(spark, sf, "part").select("p_name").distinct()
-    labels = table(spark, sf, "supplier").where("s_suppkey < 5").select("s_name").union(spark.createDataFrame([("red bolt",), ("large wigdet",)], "s_name string"))
-    # A handful of labels meets the distinct names.
-    both = names.join(F.broadcast(labels))
-    return both.groupBy("s_name").agg(F.min_by("p_name", F.struct(F.levenshtein("s_name", "p_name"), "p_name")).alias("best"))
+    parts = table(spark, sf, "part")
+    both = parts.select("p_brand", "p_name").distinct().join(parts.select("p_brand", F.lower("p_type").alias("label")).distinct(), "p_brand")
+    return both.groupBy("p_brand", "label").agg(F.min_by("p_name", F.struct(F.levenshtein("label", "p_name"), "p_name")).alias("best"))
 
 
 @query(
@@ -149,12 +147,12 @@ def explode_key(spark, sf):
 @query(
     "balance_brackets",
     """
-    WITH l AS (SELECT doc_id, left(replace(replace(text, 'in', '('), 'on', ')'), 40) AS t FROM documents)
+    WITH l AS (SELECT doc_id, replace(replace(text, 'in', '('), 'on', ')') AS t FROM documents)
     SELECT doc_id, CASE WHEN len(t) - len(replace(t, '(', '')) > len(t) - len(replace(t, ')', '')) THEN t || ')' ELSE t END || CASE WHEN (len(t) - len(replace(t, '"', ''))) % 2 = 1 THEN '"' ELSE '' END AS t FROM l
     """,
 )
 def balance_brackets(spark, sf):
-    t = F.substring(F.replace(F.replace("text", F.lit("in"), F.lit("(")), F.lit("on"), F.lit(")")), 1, 40)
+    t = F.replace(F.replace("text", F.lit("in"), F.lit("(")), F.lit("on"), F.lit(")"))
     plain = table(spark, sf, "documents").select("doc_id", t.alias("t"))
     return plain.select("doc_id", T.balance_brackets(F.col("t")).alias("t"))
 
@@ -219,12 +217,12 @@ def prompt_text(spark, sf):
 
 @query(
     "answer_text",
-    "SELECT doc_id, left(text, 20) || CASE WHEN doc_id % 3 = 0 THEN ' (pp. ' || doc_id || ' - ' || (doc_id + 1) || ')' WHEN doc_id % 3 = 1 THEN ' (p. ' || doc_id || ')' ELSE ' ' END AS t FROM documents",
+    "SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' (pp. ' || doc_id || ' - ' || (doc_id + 1) || ')' WHEN doc_id % 3 = 1 THEN ' (p. ' || doc_id || ')' ELSE ' ' END AS t FROM documents",
 )
 def answer_text(spark, sf):
     k = F.col("doc_id")
     page = F.when(k % 3 == 0, F.concat_ws(" - ", k, k + 1)).when(k % 3 == 1, k.cast("string"))
-    return table(spark, sf, "documents").select("doc_id", T.answer_text(F.substring("text", 1, 20), page).alias("t"))
+    return table(spark, sf, "documents").select("doc_id", T.answer_text(F.col("text"), page).alias("t"))
 
 
 @query(

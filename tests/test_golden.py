@@ -69,6 +69,20 @@ def test_greedy(spark):
     assert sorted(r.id for r in V.greedy_distinct(items, 0.97, pairs=pairs).collect()) == [1, 3]
 
 
+def test_greedy_against_a_plain_scan(spark):
+    import random
+
+    rng = random.Random(8)
+    vectors = [[rng.gauss(0, 1) for _ in range(3)] for _ in range(80)]
+    kept = []
+    for i, v in enumerate(vectors):
+        cos = lambda w, v=v: sum(a * b for a, b in zip(v, w)) / math.hypot(*v) / math.hypot(*w)
+        if all(cos(vectors[k]) < 0.8 for k in kept):
+            kept.append(i)
+    items = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<double>")
+    assert sorted(r.id for r in V.greedy_distinct(items, 0.8).collect()) == kept
+
+
 def test_blocked_pairs_and_blocked_queries(spark, monkeypatch):
     import random
 
