@@ -257,14 +257,15 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
     classes = linkable.groupBy("d1", "d2", "n_shingles").agg(F.min("key").alias("rep"), F.min_by("check", "key").alias("rep_check"))
     classes, classes_path = written(classes, "classes")
     reps = classes.select(F.col("rep").alias("key"), F.col("rep_check").alias("check"), "d1", "d2")
-    bands = linkable.join(reps, ["key", "check", "d1", "d2"], "left_semi").select("key", "check", "n_shingles", "bands")
+    # One row stands for a class, also where rows repeat; the join has dealt and sorted by these columns.
+    bands = linkable.join(reps, ["key", "check", "d1", "d2"], "left_semi").dropDuplicates(["key", "check", "d1", "d2"]).select("key", "check", "n_shingles", "bands")
     banded = bands.select("key", "check", "n_shingles", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("shingles"), F.bit_xor(F.xxhash64("key", "check")).alias("who"), F.min("key").alias("least")).where("m > 1")
     # Pairs of texts share many bands: of buckets with the same members one is enough.
     buckets = buckets.groupBy("m", "who", "shingles", "least").agg(F.min("bucket").alias("bucket"))
     blocks = F.greatest(F.ceil(F.col("m") / s.block), F.ceil(F.col("shingles") / s.block_shingles)).cast("int")
     groups = banded.join(buckets.select("bucket", blocks.alias("blocks")), "bucket").groupBy("key", "check").agg(F.collect_list(F.struct("bucket", "blocks")).alias("groups"))
-    texts = docs.join(groups, ["key", "check"]).select("key", "check", "text", "groups")
+    texts = docs.join(groups, ["key", "check"]).dropDuplicates(["key", "check"]).select("key", "check", "text", "groups")
     dealt = texts.mapInArrow(_deal(s), "bucket long, one int, two int, key long, found binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["bucket", "one", "two"]

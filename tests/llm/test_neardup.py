@@ -86,3 +86,9 @@ def test_components_of_chains_and_stars(spark):
     found, _ = components.components(spark.createDataFrame(edges, "a long, b long"))
     got = dict((r.node, r.component) for r in found.collect())
     assert got == {**{i: 100 for i in range(101, 141)}, **{i: 3 for i in [7, *range(200, 260)]}, 51: 50}
+
+
+def test_many_repeated_rows_stay_one_class(spark):
+    rows = [(1, "one text that comes again and again")] * 3000 + [(2, "another text of its own that stays"), (3, "one text that comes again and again")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id, r.kept, r["count"]) for r in got.groupBy("doc_id", "component_id", "kept").count().collect()) == [(1, 1, True, 3000), (2, 2, True, 1), (3, 1, False, 1)]
