@@ -141,8 +141,11 @@ def _features(s: Settings):
 
 
 def _deal(s: Settings):
-    """Rows (key, check, text, groups) to one row for each pair of blocks that the text is compared in."""
-    names = ["bucket", "one", "two", "key", "found"]
+    """Rows (key, check, text, groups) to one row for each pair of blocks that the text is compared in.
+
+    The text itself travels: compressed, it is half the size of its shingles' hashes.
+    """
+    names = ["bucket", "one", "two", "key", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,21 +157,21 @@ def _deal(s: Settings):
             rows: dict[str, list] = {n: [] for n in names}
             size = 0
             for i in range(batch.num_rows):
-                found = shingles(data[offsets[i] : offsets[i + 1]], s.words).tobytes()
+                body = data[offsets[i] : offsets[i + 1]].tobytes()
                 key = keys[i].as_py()
                 for g in range(at[i], at[i + 1]):
                     k = int(blocks[g])
                     own = xxhash.xxh3_64_intdigest(str(key), seed=int(bucket[g]) & 0xFFFF) % k
                     for other in range(k):
-                        for n, v in zip(names, (int(bucket[g]), min(own, other), max(own, other), key, found)):
+                        for n, v in zip(names, (int(bucket[g]), min(own, other), max(own, other), key, body)):
                             rows[n].append(v)
-                        size += len(found)
+                        size += len(body)
                         if size > 16 << 20:
                             yield pa.RecordBatch.from_pydict(rows, schema=out)
                             rows, size = {n: [] for n in names}, 0
             yield pa.RecordBatch.from_pydict(rows, schema=out)
 
-    out = pa.schema([("bucket", pa.int64()), ("one", pa.int32()), ("two", pa.int32()), ("key", pa.int64()), ("found", pa.binary())])
+    out = pa.schema([("bucket", pa.int64()), ("one", pa.int32()), ("two", pa.int32()), ("key", pa.int64()), ("body", pa.binary())])
     return run
 
 
@@ -215,11 +218,11 @@ def _verify(s: Settings):
     """Sorted rows of _deal to links (a, b). Only two blocks are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, sets, out = None, [], [], []
+        now, keys, texts, out = None, [], [], []
 
         def close():
             if len(keys) > 1:
-                found = links(sets, s.percent)
+                found = links([shingles(np.frombuffer(t, np.uint8), s.words) for t in texts], s.percent)
                 out.extend((min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in found)
 
         def give():
@@ -232,9 +235,9 @@ def _verify(s: Settings):
             for i, group in enumerate(groups):
                 if group != now:
                     close()
-                    now, keys, sets = group, [], []
+                    now, keys, texts = group, [], []
                 keys.append(batch.column(3)[i].as_py())
-                sets.append(np.frombuffer(batch.column(4)[i].as_buffer(), _U).copy())
+                texts.append(batch.column(4)[i].as_py())
             if len(out) > 10_000:
                 yield give()
         close()
@@ -266,7 +269,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
     blocks = F.greatest(F.ceil(F.col("m") / s.block), F.ceil(F.col("shingles") / s.block_shingles)).cast("int")
     groups = banded.join(buckets.select("bucket", blocks.alias("blocks")), "bucket").groupBy("key", "check").agg(F.collect_list(F.struct("bucket", "blocks")).alias("groups"))
     texts = docs.join(groups, ["key", "check"]).dropDuplicates(["key", "check"]).select("key", "check", "text", "groups")
-    dealt = texts.mapInArrow(_deal(s), "bucket long, one int, two int, key long, found binary")
+    dealt = texts.mapInArrow(_deal(s), "bucket long, one int, two int, key long, body binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["bucket", "one", "two"]
     edges = dealt.repartition(4 * n, *order).sortWithinPartitions(*order).mapInArrow(_verify(s), "a long, b long").distinct()
