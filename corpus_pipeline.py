@@ -15,6 +15,10 @@ from loomtrace.llm.common import table, written
 from loomtrace.llm.queries import vocabulary
 
 
+#: Keys of 12 bytes that are sent to every task at most, instead of dealing all texts; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose language can't be told. The model learns from the labelled part of the input."""
     found = langid.predict(docs, langid.train(docs), docs.columns)
@@ -31,6 +35,9 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that of the smallest key."""
     found = neardup.near_duplicates(docs, neardup.FIVE_WORDS).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).distinct()
+    found, _ = written(found, "near-copies")
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     return docs.join(found, (docs["doc_id"] == found["_id"]) & (F.hash(docs["text"]) == found["_check"]), "left_anti")
 
 
