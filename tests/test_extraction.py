@@ -22,6 +22,12 @@ def test_all_documents_with_their_language(spark, tmp_path):
     assert words["parser"] == 2 and words["row"] == 1 and "dog" not in words
 
 
+def test_hot_lemma_keeps_all_sources(spark, tmp_path):
+    rows = [(i, f"The parser creates a tree{i}. The parser creates a tree{i}.", "en") for i in range(50)]
+    got = {r.concept: r for r in QUERIES["word_dictionary"](spark, tables(spark, tmp_path, rows)).collect()}
+    assert got["parser"]["count"] == 100 and got["parser"].sources == 50 and got["tree7"].sources == 1
+
+
 def test_near_cores_are_all_pairs_that_hold():
     text = "The owner of the house by the river and the friend of the owner make a map and a plan for the town in the hills with the help of the guide and send it to you. A of b of c of d in e"
     for s in L.shallow_parse(text):
