@@ -5,7 +5,9 @@ their borders), each looked up by hash. A linear softmax on top gives the langua
 trained together by stochastic gradient descent in numpy on a bounded, documented sample: at most
 ``per_language`` whole texts of each language, drawn by a hash of the key, and a short span of each
 so that short texts are not read with too much confidence. A part of the sample stays out of the
-training and calibrates the softmax's temperature and the score below which a text is rejected.
+training and calibrates the softmax's temperature and the scores below which a text is rejected: the
+``reject`` quantile of about ``spans`` spans of that part, by length, so that small samples act like
+large ones. With a single language every text with a letter gets the score 1, and none is rejected.
 
 Since the model is linear after the lookup, embeddings and softmax weights fold into one weight per
 subword and language, and a text of any length is scored whole from its subword counts.
@@ -46,7 +48,7 @@ _FOLD = _table()
 
 @dataclass(frozen=True)
 class Settings:
-    """buckets: hashed subwords; dims: of an embedding; per_language: most labelled texts of a language that are used."""
+    """buckets: hashed subwords; dims: of an embedding; per_language: most labelled texts of a language that are used; reject: share of spans of known languages that may be rejected; spans: drawn for that; lengths: in subwords, from which thresholds differ."""
 
     buckets: int = 1 << 13
     dims: int = 16
@@ -57,6 +59,8 @@ class Settings:
     batch: int = 64
     rate: float = 2.0
     reject: float = 0.001
+    spans: int = 4000
+    lengths: tuple[int, ...] = (120, 480)
     seed: int = 7
 
 
@@ -68,7 +72,7 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
-    threshold: float
+    thresholds: list[float]
     settings: Settings
 
 
@@ -123,11 +127,12 @@ def fit(texts: list[str], langs: list[str], s: Settings = Settings()) -> Model |
         return None
     index = {n: i for i, n in enumerate(names)}
     bags: list[tuple[np.ndarray, np.ndarray]] = []
-    label, held = [], []
+    label, held, kept = [], [], []
     for k, (t, lang) in enumerate(zip(texts, langs)):
         words = t.split()
         if not words or not _LETTER.search(t):
             continue
+        kept.append((k % 5 == 4, words))
         start = int(rng.integers(0, len(words)))
         for part in (t, " ".join(words[start : start + int(rng.integers(1, 21))])):
             if _LETTER.search(part):
@@ -173,12 +178,29 @@ def fit(texts: list[str], langs: list[str], s: Settings = Settings()) -> Model |
     grid = np.geomspace(0.05, 20, 60)
     loss = [-np.log(np.clip(_softmax(logits / t)[np.arange(len(check)), truth], 1e-12, None)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
-    best = _softmax(logits / temperature).max(axis=1)
-    # Split-conformal: a text of the languages known is rejected with at most the given chance, so
-    # a sample too small to tell rejects none; never above an even chance.
-    rank = int(s.reject * (len(best) + 1))
-    threshold = float(min(0.5, np.sort(best)[rank - 1])) if rank else 0.0
-    return Model(names, weights, bias, temperature, threshold, s)
+    known = [w for h, w in kept if h] or [w for _, w in kept]
+    thresholds = _thresholds(known, weights, bias, temperature, s)
+    return Model(names, weights, bias, temperature, thresholds, s)
+
+
+def _thresholds(texts: list[list[str]], weights: np.ndarray, bias: np.ndarray, temperature: float, s: Settings) -> list[float]:
+    """The score below which a text is rejected, for each range of lengths."""
+    rng = np.random.default_rng(s.seed + 1)
+    best, size = [], []
+    for words in texts:
+        parts = [words]
+        for _ in range(-(-s.spans // len(texts))):
+            start = int(rng.integers(0, len(words)))
+            parts.append(words[start : start + int(rng.integers(1, 41))])
+        for part in map(" ".join, parts):
+            if _LETTER.search(part):
+                ids, n = np.unique(subwords(np.frombuffer(part.encode(), np.uint8), s), return_counts=True)
+                size.append(int(n.sum()))
+                best.append(_softmax((n @ weights[ids] / n.sum() + bias) / temperature).max())
+    best, at = np.array(best), np.searchsorted(s.lengths, size, "right")
+    # Never above the middle between an even spread over the languages and certainty.
+    most = (1 + 1 / len(bias)) / 2
+    return [float(min(most, np.quantile(best[at == k] if (at == k).any() else best, s.reject))) for k in range(len(s.lengths) + 1)]
 
 
 def train(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
@@ -204,7 +226,7 @@ def score_batch(texts: pa.Array, model: Model | None) -> tuple[list[str], np.nda
         p = _softmax((c @ model.weights / total + model.bias) / model.temperature)
         best = int(np.argmax(p))
         langs[i], scores[i] = model.languages[best], float(p[best])
-        reject[i] = scores[i] < model.threshold
+        reject[i] = scores[i] < model.thresholds[int(np.searchsorted(s.lengths, total, "right"))]
     return langs, scores, reject
 
 

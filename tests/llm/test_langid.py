@@ -38,3 +38,16 @@ def test_scores_do_not_depend_on_the_batch():
     texts = ["the tree", "LE CHAT", None, "É", "x"]
     alone = [langid.score_batch(pa.array([t], pa.string()), model)[1][0] for t in texts]
     assert np.allclose(alone, langid.score_batch(pa.array(texts), model)[1])
+
+
+def test_small_samples_reject_unseen_languages():
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{SF}/documents.parquet", columns=["text", "lang"]).to_pandas().dropna()
+    other = ["to jest zdanie po polsku o domu i lesie oraz o rzece która płynie przez miasto " * 3, "ez egy magyar nyelvű szöveg a házról és az erdőről " * 5]
+    odd = pa.array(other)
+    for n in (500, 700, 1000):
+        model = langid.fit(list(t.text[:n]), list(t.lang[:n]))
+        assert langid.score_batch(odd, model)[2].all()
+        long = [x for x in t.text if len(x) > 100]
+        assert langid.score_batch(pa.array(long), model)[2].mean() < 0.005
