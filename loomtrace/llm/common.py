@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch. Texts can be long, so batches stay short.
-BATCH_ROWS = 512
+#: Rows and bytes in an Arrow batch. Texts can be long, so batches stay short; one row may exceed the bytes.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts within a Python worker's memory."""
+    """Keep Arrow batches of whole texts within a Python worker's memory.
+
+    Plans read these settings when they run, after the caller has them, so they stay set for the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -87,6 +91,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             start = end
 
 
+def share_below(share: float) -> int:
+    """The signed 64-bit number that a share of all 64-bit hashes does not exceed; above zero shares stay above zero."""
+    return min(int(min(1.0, max(0.0, share)) * 2**64), 2**64 - 1) - 2**63
+
+
 def crc_mod(key: str, n: int) -> F.Column:
     """crc32 of a column as text, modulo ``n``."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(n)

@@ -1,19 +1,22 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text's distinct paragraphs (its lines) are hashed; each hash goes to one cell in each of three
-rows, and a cell keeps a count, the XOR of its hashes and the XOR of their check values.
+A text is cut at content-defined places: at line ends and sentence ends, and where no such place comes for ``LONG``
+characters, after words that end in one of some letters, and in texts under ``SHORT`` characters at white space. So texts of one line have several pieces, too.
+The distinct pieces are hashed; each hash goes to one cell in each of three rows, and a cell keeps a
+count, the XOR of its hashes and the XOR of their check values.
 Subtracting the cells of two texts leaves the sketch of what differs, and peeling recovers the
 differing hashes: a cell of count one or minus one whose check fits gives a hash, which then leaves
-its other cells. If cells remain, both sketches are built again, larger: the hashes are dealt to
-more tables of the same size by further bits, so that time and memory grow in proportion to the
-paragraphs. Should the largest size fail as well, the hashes themselves are compared.
+its other cells. If cells remain, both sketches are built again, larger: the hashes are dealt by their highest
+bits to as many tables as their number asks for, so that time and memory grow in proportion to the
+pieces, and a table that fails is built again with twice the cells, and with four times. Should the largest size fail as well, its hashes themselves are compared.
 
-The likeness of two texts is the number of shared paragraphs over that of all paragraphs, the
+The likeness of two texts is the number of shared pieces over that of all pieces, the
 shared ones being known from both counts and the recovered difference. Only DataFrame functions run.
 
 Defined cases: a null text is empty; two empty texts have likeness 1, an empty and another text 0;
 rows of equal keys follow each other in order of a hash of their texts; rows equal in key and text
-count as one document listed twice; null keys come last; a single row is its own next row.
+count as one document listed twice; null keys come last; a single row is its own next row; texts of any
+length are read whole; an empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +28,14 @@ from pyspark.sql import functions as F
 
 from loomtrace.llm.common import row_partitions, written
 
-#: Cells in each of a table's three rows: as many as three bits can name.
-WIDTH, BITS, ROWS = 8, 3, 3
-#: Sizes tried; each has four times the tables of the one before.
-LEVELS = 7
+#: Cells in each of a table's three rows: as many as three, four or five bits can name. Larger ones are for tables that fail.
+ROWS, BITS = 3, (3, 4, 5)
+#: The lowest bit of a hash that places it, for each size; what deals hashes to tables are its highest bits.
+_FROM = tuple(sum(ROWS * b for b in BITS[:n]) for n in range(len(BITS)))
+#: Keys that a table takes on average.
+LOAD = 12
+#: Characters under which a text is cut into words, and above which a part without an end of line or sentence is.
+SHORT, LONG = 200, 300
 _KEYS = "array<struct<k:bigint,s:int>>"
 
 
@@ -38,12 +45,20 @@ def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """A 64-bit hash for each distinct paragraph."""
-    return F.when(F.length(text) > 0, F.array_distinct(F.transform(F.split(text, "\n", -1), lambda x: F.xxhash64(x)))).otherwise(F.array().cast("array<bigint>"))
+    """A 64-bit hash for each distinct piece."""
+    parts = F.transform(F.split(text, r"\n|(?<=[.!?]) ", -1), lambda x: F.when(F.length(x) > LONG, F.split(x, r"(?<=[a-e\W])\s", -1)).otherwise(F.array(x)))
+    pieces = F.when(F.length(text) < SHORT, F.split(text, r"\s+", -1)).otherwise(F.flatten(parts))
+    return F.when(F.length(text) > 0, F.array_distinct(F.transform(pieces, lambda x: F.xxhash64(x)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _slot(k: Column, row: int, level: int) -> Column:
-    return F.shiftrightunsigned(k, (level * ROWS + row) * BITS % 45).bitwiseAND(WIDTH - 1)
+def _placed(keys: Column, size: int) -> Column:
+    """Signed keys with their check values and their slots in each row, each computed once."""
+
+    def one(e: Column) -> Column:
+        slots = [F.shiftrightunsigned(e["k"], _FROM[size] + r * BITS[size]).bitwiseAND((1 << BITS[size]) - 1).cast("int").alias(f"r{r}") for r in range(ROWS)]
+        return F.struct(e["k"].alias("k"), e["s"].alias("s"), F.xxhash64(e["k"]).alias("h"), *slots)
+
+    return F.transform(keys, one)
 
 
 def _cell(n: Column, k: Column, h: Column) -> Column:
@@ -51,43 +66,46 @@ def _cell(n: Column, k: Column, h: Column) -> Column:
 
 
 def _fold(start: Column, keys: Column, sign: int = 1) -> Column:
-    """A cell after the keys (k, s) have entered it, or left it with sign -1."""
-    return F.aggregate(keys, start, lambda a, e: _cell(a["n"] + e["s"] * sign, a["k"].bitwiseXOR(e["k"]), a["h"].bitwiseXOR(F.xxhash64(e["k"]))))
+    """A cell after placed keys have entered it, or left it with sign -1."""
+    return F.aggregate(keys, start, lambda a, e: _cell(a["n"] + e["s"] * sign, a["k"].bitwiseXOR(e["k"]), a["h"].bitwiseXOR(e["h"])))
 
 
-def cells(keys: Column, level: int) -> Column:
+def cells(keys: Column, size: int = 0) -> Column:
     """The table of signed keys."""
     zero = _cell(F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
 
-    def row(r: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda j: _fold(zero, F.filter(keys, lambda e: _slot(e["k"], r, level) == j)))
+    def row(placed: Column, r: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit((1 << BITS[size]) - 1)), lambda j: _fold(zero, F.filter(placed, lambda e: e[f"r{r}"] == j)))
 
-    return F.concat(*(row(r) for r in range(ROWS)))
+    return _let(_placed(keys, size), lambda placed: F.concat(*(row(placed, r) for r in range(ROWS))))
 
 
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"])))
 
 
-def peel(table: Column, level: int) -> Column:
+def peel(table: Column, size: int = 0) -> Column:
     """The keys that a table of differences holds, with their signs; null if cells remain."""
+    width = 1 << BITS[size]
 
     def leave(state: Column, pure: Column) -> Column:
         def row(r: int) -> Column:
-            part = F.slice(state["cells"], r * WIDTH + 1, WIDTH)
-            return F.transform(part, lambda c, j: _fold(c, F.filter(pure, lambda e: _slot(e["k"], r, level) == j), -1))
+            part = F.slice(state["cells"], r * width + 1, width)
+            # Cells that no key leaves stay as they are.
+            return F.transform(part, lambda c, j: _let(F.filter(pure, lambda e: e[f"r{r}"] == j), lambda gone: F.when(F.size(gone) == 0, c).otherwise(_fold(c, gone, -1))))
 
         after = F.concat(*(row(r) for r in range(ROWS)))
-        return F.struct(after.alias("cells"), F.concat(state["found"], pure).alias("found"), (F.size(pure) > 0).alias("going"))
+        found = F.concat(state["found"], F.transform(pure, lambda e: F.struct(e["k"].alias("k"), e["s"].alias("s"))))
+        return F.struct(after.alias("cells"), found.alias("found"), F.lit(True).alias("going"))
 
     def step(state: Column) -> Column:
         single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["h"] == F.xxhash64(c["k"])))
         pure = F.array_distinct(F.transform(single, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("s"))))
-        return _let(pure, lambda p: F.when(F.size(p) > 0, leave(state, p)).otherwise(F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("going"))))
+        return _let(_placed(pure, size), lambda p: F.when(F.size(p) > 0, leave(state, p)).otherwise(F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("going"))))
 
     start = F.struct(table.alias("cells"), F.array().cast(_KEYS).alias("found"), F.lit(True).alias("going"))
     # Every round but the last takes out a key, and a table holds fewer keys than cells if it can be peeled.
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROWS * WIDTH + 1)), start, lambda s, _: F.when(s["going"], step(s)).otherwise(s))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROWS * width + 1)), start, lambda s, _: F.when(s["going"], step(s)).otherwise(s))
     return _let(end, lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0)), s["found"]))
 
 
@@ -95,38 +113,35 @@ def _signed(keys: Column, sign: int) -> Column:
     return F.transform(keys, lambda k: F.struct(k.alias("k"), F.lit(sign).alias("s")))
 
 
-def _dealt(keys: Column, level: int) -> Column:
-    """Signed keys in one list for each of 4 ** level tables that has any, in time in proportion to the keys."""
-    ordered = F.array_sort(keys)
-    table = lambda k: F.shiftrightunsigned(k, 64 - 2 * level)
-    # Sorted keys of a table are neighbours: write them down with a bar between tables, and cut there.
-    noted = _let(
-        ordered,
-        lambda u: F.transform(
-            u,
-            lambda e, i: F.concat(
-                F.when(i == 0, F.lit("")).when(table(F.get(u, i - 1)["k"]) == table(e["k"]), F.lit(",")).otherwise(F.lit("|")),
-                F.when(e["s"] > 0, F.lit("+")).otherwise(F.lit("-")),
-                e["k"].cast("string"),
-            ),
-        ),
-    )
-    lists = F.split(F.array_join(noted, ""), "\\|")
-    read = lambda x: F.struct(F.substring(x, 2, 20).cast("bigint").alias("k"), F.when(x.startswith("+"), F.lit(1)).otherwise(F.lit(-1)).alias("s"))
-    return F.transform(lists, lambda g: F.transform(F.split(g, ","), read))
+def _dealt(keys: Column) -> Column:
+    """Signed keys in one list for each table that has any, in time in proportion to the keys (but for their sort)."""
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.size(keys) / F.lit(LOAD)))).cast("int")
+
+    def lists(u: Column, n: Column) -> Column:
+        table = lambda i: F.when(n == 0, F.lit(0).cast("bigint")).otherwise(F.call_function("shiftrightunsigned", F.get(u, i)["k"], F.lit(64) - n))
+        # Sorted keys of a table are neighbours: cut where the table changes.
+        starts = F.filter(F.sequence(F.lit(0), F.size(u) - 1), lambda i: (i == 0) | (table(i - 1) != table(i)))
+        return _let(starts, lambda c: F.transform(c, lambda x, i: F.slice(u, x + 1, F.coalesce(F.get(c, i + 1), F.size(u)) - x)))
 
+    return _let(F.sort_array(keys), lambda u: _let(bits, lambda n: lists(u, n)))
 
-def differing(a: Column, b: Column, level: int) -> Column:
-    """The paragraphs that only one text has, from sketches of a given size; null if these can't be peeled."""
+
+def differing(a: Column, b: Column) -> Column:
+    """The pieces that only one text has, from tables of both texts' pieces, larger where these can't be peeled."""
     both = F.concat(_signed(a, 1), _signed(b, -1))
-    peeled = F.transform(_dealt(both, level), lambda g: peel(cells(g, level), level))
-    return F.when(F.size(both) == 0, F.array().cast(_KEYS)).otherwise(_let(peeled, lambda p: F.when(~F.exists(p, lambda x: x.isNull()), F.flatten(p))))
+
+    def one(g: Column) -> Column:
+        # A key of both texts stands twice in the list.
+        alone = F.filter(g, lambda e: ~F.array_contains(g, F.struct(e["k"].alias("k"), (-e["s"]).alias("s"))))
+        return F.coalesce(*(peel(cells(g, n), n) for n in range(len(BITS))), alone)
+
+    return F.when(F.size(both) == 0, F.array().cast(_KEYS)).otherwise(F.flatten(F.transform(_dealt(both), one)))
 
 
 def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """The differing paragraphs: from the smallest sketches, or larger ones where these fail."""
-    exact = F.concat(_signed(F.array_except(a, b), 1), _signed(F.array_except(b, a), -1))
-    return F.coalesce(peel(subtract(cells_a, cells_b), 0), *(differing(a, b, n) for n in range(1, LEVELS)), exact)
+    """The differing pieces: from the smallest sketches, or larger ones where these fail or must fail."""
+    small = F.abs(F.size(a) - F.size(b)) <= ROWS << BITS[0]
+    return F.coalesce(F.when(small, peel(subtract(cells_a, cells_b))), differing(a, b))
 
 
 def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
@@ -176,7 +191,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     n = F.length("text")
     own = own.select("key", n.cast("long").alias("n_chars"), F.col("text"), F.concat(F.expr("left(text, length(text) - half)"), F.col("borrowed")).alias("edited"), "next_keys")
     own = own.select("key", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("a"), paragraphs(F.col("edited")).alias("e"), F.col("next_keys").alias("x"))
-    own = own.select("*", *(cells(_signed(F.col(c), 1), 0).alias(f"c{c}") for c in "aex"))
+    own = own.select("*", *(cells(_signed(F.col(c), 1)).alias(f"c{c}") for c in "aex"))
     return own.select(
         F.col("key").alias(key),
         "n_chars",

@@ -1,15 +1,22 @@
 """Main text of web pages by two passes over blocks.
 
-Markup is cut into blocks of text. The first pass gives each block a class: link-rich blocks, and
-those in parts of a page that by their element or name are menus, adverts, notices, forms, comments
-and the like, are bad; long blocks with many stop words are good, shorter ones near good; blocks of
-few characters stay open. The second pass decides open and near-good blocks by their nearest decided
-neighbours. Where a page marks its article, only blocks in it compete, and its borders count as good;
-elsewhere the borders of a page count as bad.
+Markup is cut into blocks of text. The first pass classes each block by its own words: link-rich
+blocks, and those in parts of a page that by their element or name are menus, adverts, notices,
+forms, comments and the like, are bad; long blocks with many stop words are good, shorter ones near
+good; long ones with few stop words that don't end like a sentence are bad; other blocks of few characters or few stop words stay open. The second pass gives near-good and open
+blocks the label of their nearest decided neighbour: of the last and the next good and bad block the one that is fewest
+steps away in the tree of containers. So a paragraph goes with its own section rather
+than with the menu next to it. At equal distance near-good blocks stay and open ones go. A heading
+looks ahead only.
+
+A page's own marks, ``article`` and ``main``, are one feature among these: they settle equal distances, and
+where marked text is good, unmarked blocks are near good at best.
 
 Defined cases: a null or empty page, and one without article text, gives an empty text; an unfinished
 tag at the end is dropped; unclosed elements end where a browser would end them; character
-references are decoded once.
+references are decoded once; quoted attribute values may be of any length; pages of any length are read whole, in batches
+bounded by bytes; rows that repeat give repeated rows; an empty table gives an empty one; other columns are ignored
+unless named in ``keep``, and kept columns must not be called text or n_chars.
 """
 
 from __future__ import annotations
@@ -47,7 +54,10 @@ _NAMED = re.compile(
 _COMMENT = re.compile(r"(?:^|[\s_-])(?:comment\w*|replies|disqus\w*|reviews?)(?:$|[\s_-])", re.I)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_TAG = re.compile(r"""<(?:!--(.*?)(?:-->|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,4000}"|'[^']{0,4000}')*?)(>|$)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|$))""", re.S)
+#: A quote opens a value after an equals sign only. Possessive repeats keep the scan linear.
+_TAG = re.compile(r"""<(?:!--(.*?)(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)(>|\Z))""", re.S)
+#: Elements whose borders set text apart; paragraphs, headings, items and cells follow each other without one.
+_CONTAINER = _BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th tbody thead tfoot hr pre center".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -69,6 +79,9 @@ class Block:
     article: bool
     away: bool
     heading: bool
+    #: Containers around it, and the fewest at any place since the block before it.
+    depth: int = 0
+    low: int = 0
     kind: str = ""
 
 
@@ -79,22 +92,26 @@ def blocks(page: str) -> list[Block]:
     linked: list[str] = []
     #: Open elements: name, whether it is away from the article, whether it is the article or within it.
     stack: list[tuple[str, bool, bool]] = []
-    link, breaks, heading = 0, 0, False
+    link, breaks, heading, depth, low = 0, 0, False, 0, 0
 
     def flush():
-        nonlocal breaks
+        nonlocal breaks, low
         breaks = 0
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
                 away, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                found.append(Block(whole, len(" ".join(html.unescape("".join(linked)).split())), article, away, heading))
+                found.append(Block(whole, len(" ".join(html.unescape("".join(linked)).split())), article, away, heading, depth, low))
+                low = depth
             text.clear()
             linked.clear()
 
     def close(name: str, within: frozenset | None = None) -> None:
+        nonlocal depth, low
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == name:
+                depth -= sum([x[0] in _CONTAINER for x in stack[k:]])
+                low = min(low, depth)
                 del stack[k:]
                 return
             if within is not None and stack[k][0] in within:
@@ -113,11 +130,11 @@ def blocks(page: str) -> list[Block]:
         if not m:
             break
         at = m.end()
-        name = (m[3] or m[7] or "").lower()
+        name = (m[3] or "").lower()
         if not name:
             continue
-        rest, closing = (m[4] if m[3] else m[8]) or "", bool(m[2] or m[6])
-        if not (m[5] or m[9]):
+        rest, closing = m[4] or "", bool(m[2])
+        if not m[5]:
             break  # the page ends within a tag
         if name == "a":
             link = 0 if closing else 1
@@ -141,6 +158,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if name == "body":
             stack.clear()
+            depth = low = 0
         elif block:
             link = 0
             close("p", frozenset(_BLOCK - {"p"}))
@@ -169,55 +187,71 @@ def blocks(page: str) -> list[Block]:
         if block or away or article:
             if not rest.endswith("/") or block:
                 stack.append((name, away, article))
+                depth += name in _CONTAINER
     flush()
     return found
 
 
-def classify(found: list[Block], s: Settings = Settings()) -> list[Block]:
-    """The blocks of the main text."""
-    marked = any(b.article and not b.away for b in found)
-    if marked:
-        found = [b for b in found if b.article]
+def _first_pass(found: list[Block], s: Settings) -> None:
+    """Each block's kind by its own words: good, near, open or bad."""
     for b in found:
         words = b.text.lower().split()
         stops = sum([w.strip(".,;:!?\"'()") in STOP_WORDS for w in words]) / len(words)
-        density = b.linked / len(b.text)
-        if b.away or density > s.links:
-            b.kind = "bad"
-        elif not marked and ("©" in b.text[:40] or len(b.text) < s.short and b.linked):
+        if b.away or b.linked > s.links * len(b.text) or "\u00a9" in b.text[:40] or (len(b.text) < s.short and b.linked and not b.article):
             b.kind = "bad"
-        elif len(b.text) < s.short:
-            b.kind = "short"
-        elif stops >= s.stop_high:
-            b.kind = "good" if len(b.text) > s.long else "near"
-        elif stops >= s.stop_low or marked:
-            b.kind = "near"
+        elif len(b.text) >= s.short and stops < s.stop_low and not b.article and b.text[-1] not in ".!?":
+            b.kind = "bad"  # a list of words
+        elif len(b.text) < s.short or stops < s.stop_low:
+            b.kind = "open"
         else:
-            b.kind = "bad"
-    border = "good" if marked else "bad"
-    before, last = [], border
-    for b in found:
-        before.append(last)
-        if b.kind in ("good", "bad") and not b.away:
-            last = b.kind
-    after, last = [], border
-    for b in reversed(found):
-        after.append(last)
-        if b.kind in ("good", "bad") and not b.away:
-            last = b.kind
-    after.reverse()
-    good = []
+            b.kind = "good" if stops >= s.stop_high and len(b.text) > s.long else "near"
+    if any(b.kind == "good" and b.article for b in found):
+        for b in found:
+            if b.kind == "good" and not b.article:
+                b.kind = "near"
+    # Pages without a long text: what comes closest to one decides.
+    for kind, marked in (("good", False), ("near", True), ("near", False), ("open", True), ("open", False)):
+        chosen = [b for b in found if b.kind == kind and (b.article or not marked)]
+        if chosen:
+            if kind == "open" and not marked:
+                chosen = [max(chosen, key=lambda b: len(b.text))]
+            for b in chosen:
+                b.kind = "good"
+            break
+
+
+def _distances(found: list[Block], lows: list[int]) -> list[dict[str, int]]:
+    """For each block how many steps the last good and the last bad block before it are away in the tree of containers."""
+    out, last = [], {}
+    for b, low in zip(found, lows):
+        # Two places meet at the fewest containers passed between them.
+        last = {kind: (depth, min(least, low)) for kind, (depth, least) in last.items()}
+        out.append({kind: b.depth + depth - 2 * least for kind, (depth, least) in last.items()})
+        if b.kind in ("good", "bad"):
+            last[b.kind] = b.depth, b.depth
+    return out
+
+
+def classify(found: list[Block], s: Settings = Settings()) -> list[Block]:
+    """The blocks of the main text."""
+    _first_pass(found, s)
+    lows = [b.low for b in found]
+    before, after = _distances(found, lows), _distances(found[::-1], [0, *lows[:0:-1]])[::-1]
+    marked = any(b.article and b.kind == "good" for b in found)
+    chosen = []
     for b, left, right in zip(found, before, after):
-        if b.kind == "short":
+        keep = b.kind == "good"
+        if b.kind in ("near", "open"):
             # A heading belongs to what follows it.
-            keep = right == "good" if b.heading else "good" in (left, right) if marked else left == right == "good"
-        elif b.kind == "near":
-            keep = True if marked else "good" in (left, right) or b.text[-1:] in ".!?" and not b.linked
-        else:
-            keep = b.kind == "good"
+            sides = (right,) if b.heading else (left, right)
+            good, bad = (min([x[kind] for x in sides if kind in x], default=None) for kind in ("good", "bad"))
+            if good is None or bad is None:
+                keep = good is not None
+            else:
+                keep = good < bad or (good == bad and (b.article or (b.kind == "near" and not marked)))
         if keep:
-            good.append(b)
-    return good
+            chosen.append(b)
+    return chosen
 
 
 def main_text(page: str | None, s: Settings = Settings()) -> str:
@@ -227,6 +261,8 @@ def main_text(page: str | None, s: Settings = Settings()) -> str:
 def extract(pages: DataFrame, keep: list[str], markup: str = "html", s: Settings = Settings()) -> DataFrame:
     """The columns ``keep``, then text and n_chars, of every page."""
     small_batches(pages.sparkSession)
+    if {c.lower() for c in keep} & {"text", "n_chars"}:
+        raise ValueError("columns to keep must not be called text or n_chars")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,10 @@
 
 A text is the average of the embeddings of its subwords (byte n-grams of lower-cased words with
 their borders), each looked up by hash. A linear softmax on top gives the language. Both are
-trained together by stochastic gradient descent in numpy on a bounded, documented sample: at most
-``per_language`` whole texts of each language, drawn by a hash of the key, and a short span of each
-so that short texts are not read with too much confidence. A part of the sample stays out of the
+trained together by stochastic gradient descent in numpy on a bounded, documented sample: about
+``per_language`` labelled rows of each language, all languages together about ``rows`` (one each at least), drawn by a
+hash of the key; of a row's text at most ``chars`` characters, from a place that a hash chooses; and a short span of each
+so that short texts are not read with too much confidence. No language is left out, however many there are. A part of the sample stays out of the
 training and calibrates the softmax's temperature and the scores below which a text is rejected: the
 ``reject`` quantile of about ``spans`` spans of that part, by length, so that small samples act like
 large ones. With a single language every text with a letter gets the score 1, and none is rejected.
@@ -13,7 +14,9 @@ Since the model is linear after the lookup, embeddings and softmax weights fold
 subword and language, and a text of any length is scored whole from its subword counts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and is rejected; without
-any labelled row every text is ``und``; repeated rows give repeated rows.
+any labelled row every text is ``und``; repeated rows give repeated rows; of languages with equal scores the first by
+name is given; very long texts are scored whole; an empty table gives an empty one; other columns are ignored
+unless named in ``keep``, and kept columns must not be called lang_pred, score or rejected.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import small_batches, text_bytes
+from loomtrace.llm.common import share_below, small_batches, text_bytes
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -48,13 +51,14 @@ _FOLD = _table()
 
 @dataclass(frozen=True)
 class Settings:
-    """buckets: hashed subwords; dims: of an embedding; per_language: most labelled texts of a language that are used; reject: share of spans of known languages that may be rejected; spans: drawn for that; lengths: in subwords, from which thresholds differ."""
+    """buckets: hashed subwords; dims: of an embedding; per_language: labelled rows of a language that are used, about; rows: of all languages together; chars: of a row's text; reject: share of spans of known languages that may be rejected; spans: drawn for that; lengths: in subwords, from which thresholds differ."""
 
     buckets: int = 1 << 13
     dims: int = 16
     grams: tuple[int, ...] = (1, 2, 3, 4)
     per_language: int = 800
-    languages: int = 256
+    rows: int = 8000
+    chars: int = 8192
     epochs: int = 5
     batch: int = 64
     rate: float = 2.0
@@ -102,16 +106,25 @@ def counts(data: np.ndarray, s: Settings) -> tuple[np.ndarray, int]:
 
 
 def sample(docs: DataFrame, s: Settings, key: str, text: str, lang: str) -> pd.DataFrame:
-    """At most about per_language labelled whole texts of each language, drawn by a hash of the key."""
+    """About per_language labelled texts of each language, drawn by a hash of the key."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = labelled.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()
+    sizes = labelled.groupBy(F.col(lang).alias("lang")).count().orderBy("lang").collect()
     if not sizes:
         return pd.DataFrame({"lang": [], "text": []})
-    share = F.lit(0)
-    for r in sizes:
-        share = F.when(F.col(lang) == r["lang"], F.lit(int(min(1.0, s.per_language / r["count"]) * 1_000_000))).otherwise(share)
-    drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("language")), F.lit(1_000_000)) < share
-    return labelled.where(drawn).select(F.col(key).cast("string").alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).toPandas().sort_values(["key", "lang", "text"], ignore_index=True)
+    bounds = drawn_below({r["lang"]: r["count"] for r in sizes}, s)
+    bounds = docs.sparkSession.createDataFrame(list(bounds.items()), "_lang string, _below long")
+    labelled = labelled.select(F.col(key).cast("string").alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    # A row for each language.
+    drawn = labelled.join(F.broadcast(bounds), F.col("lang") == F.col("_lang")).where(F.xxhash64(F.col("key"), F.lit("language")) <= F.col("_below"))
+    place = F.pmod(F.xxhash64(F.col("key"), F.lit("place")), F.greatest(F.length("text") - s.chars, F.lit(0)) + 1) + 1
+    drawn = drawn.select("key", "lang", F.substring(F.col("text"), place.cast("int"), F.lit(s.chars)).alias("text"))
+    return drawn.toPandas().sort_values(["key", "lang", "text"], ignore_index=True)
+
+
+def drawn_below(sizes: dict[str, int], s: Settings) -> dict[str, int]:
+    """For each language the largest hash of a key that is drawn."""
+    each = min(s.per_language, max(1, s.rows // max(1, len(sizes))))
+    return {lang: share_below(each / n) for lang, n in sizes.items()}
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:

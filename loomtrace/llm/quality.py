@@ -12,7 +12,8 @@ texts, go to the driver.
 
 Defined cases: a null text is empty; an empty text has a score like any other; without labels of
 both kinds every score is the share of label 1 (0.5 without labels); of a key's several labels all
-count; repeated rows give repeated rows.
+count; repeated rows give repeated rows; very long texts are read whole; an empty table gives an empty one; other columns are
+ignored unless named in ``keep``, and no kept column may be called score.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import small_batches, text_bytes
+from loomtrace.llm.common import share_below, small_batches, text_bytes
 from loomtrace.llm.html import STOP_WORDS
 from loomtrace.llm.neardup import _mix
 from loomtrace.llm.substrings import _POWERS
@@ -293,7 +294,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), key: str
     known = labels.where(labels[label].isNotNull() & labels[key].isNotNull()).select(labels[key].alias("_key"), labels[label].cast("int").alias("label"))
     n = known.count()
     share = min(1.0, 1.25 * s.rows / max(n, 1))
-    drawn = known.where(F.pmod(F.xxhash64(F.col("_key").cast("string"), F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = known.where(F.xxhash64(F.col("_key").cast("string"), F.lit("quality")) <= share_below(share))
     # The bound on the rows drawn bounds what is broadcast.
     rows = docs.select(docs[key].alias("_own"), docs[text].alias("text")).join(F.broadcast(drawn), F.col("_own") == F.col("_key")).select("label", "text")
 
@@ -313,6 +314,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), key: str
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` and the score of every whole text."""
     small_batches(docs.sparkSession)
+    if "score" in {c.lower() for c in keep}:
+        raise ValueError("no column to keep may be called score")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import drop, small_batches, text_bytes, written
+from loomtrace.llm.common import drop, share_below, small_batches, text_bytes, written
 
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -359,8 +359,8 @@ def remove_repeats(docs: DataFrame, finish: Finish, fields: list[tuple[str, str,
     made_names, made_kinds = [n for n, _, _ in fields], [k for _, _, k in fields]
 
     def drawn(frame: DataFrame, rows: float) -> tuple[DataFrame, float]:
-        share = min(1.0, max(s.sample_rows / max(rows, 1), 1e-6))
-        return frame.where(F.pmod(F.xxhash64("key", "check"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))), share
+        share = min(1.0, s.sample_rows / max(rows, 1))
+        return frame.where(F.xxhash64("key", "check") <= share_below(share)), share
 
     blocks_of = _per_text(_block_rows(s), names)
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0

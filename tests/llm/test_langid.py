@@ -51,3 +51,21 @@ def test_small_samples_reject_unseen_languages():
         assert langid.score_batch(odd, model)[2].all()
         long = [x for x in t.text if len(x) > 100]
         assert langid.score_batch(pa.array(long), model)[2].mean() < 0.005
+
+
+def test_every_language_is_drawn_at_any_size():
+    s = langid.Settings()
+    sizes = {f"l{i}": n for i, n in enumerate([1, 10**9, 10**11, 10**15] + [5000] * 600)}
+    found = langid.drawn_below(sizes, s)
+    for lang, n in sizes.items():
+        share = (found[lang] + 2**63 + 1) / 2**64
+        assert n * share >= 0.9 * min(n, 1) and n * share <= s.per_language * 1.01
+        if n >= 5000:
+            assert abs(n * share - s.rows // len(sizes)) <= 1
+
+
+def test_more_languages_than_any_list_holds(spark):
+    rows = [(i, f"{'abcdefghij'[i // 30 % 10]}{'klmnopqrst'[i // 300]} {'uvwxyzabcd'[i // 300]}{'efghijklmn'[i // 30 % 10]} " * 4, f"l{i // 10}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.languages) == 300

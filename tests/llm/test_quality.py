@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from loomtrace.llm import quality as q
 from loomtrace.llm.queries import QUERIES
@@ -44,3 +45,26 @@ def test_features_do_not_depend_on_the_batch():
     texts = ["One two. Two one!", "", None, "É é\nline\nline\n", "$$$ a%%%"]
     assert np.allclose(q.feature_rows(pa.array(texts)), np.concatenate([q.feature_rows(pa.array([t], pa.string())) for t in texts]))
     assert np.isfinite(q.feature_rows(pa.array(texts))).all()
+
+
+def plain_score(row, m):
+    """The model's score by one lookup at a time."""
+    z = m.base
+    for k, t in enumerate(m.tables):
+        z += t[sum(row[k] >= c for c in m.cuts[k])]
+    for (i, j), t in zip(m.pairs, m.pair_tables):
+        z += t[sum(row[i] >= c for c in m.coarse[i])][sum(row[j] >= c for c in m.coarse[j])]
+    return 1 / (1 + np.exp(-(m.slope * z + m.shift)))
+
+
+def test_scores_equal_plain_lookups():
+    rng = np.random.default_rng(2)
+    x = rng.random((400, len(q.FEATURES))).round(1)
+    model = q.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(int))
+    assert np.allclose(q.score(x, model), [plain_score(r, model) for r in x])
+
+
+def test_clashing_names_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, score int")
+    with pytest.raises(ValueError):
+        q.predict(docs, q.fit(np.zeros((0, len(q.FEATURES))), np.zeros(0)), ["doc_id", "score"])
