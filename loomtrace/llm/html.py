@@ -3,7 +3,7 @@
 Markup is cut into blocks of text. The first pass classes each block by its own words: link-rich
 blocks, and those in parts of a page that by their element or name are menus, adverts, notices,
 forms, comments and the like, are bad; long blocks with many stop words are good, shorter ones near
-good; long ones with few stop words that don't end like a sentence are bad; other blocks of few characters or few stop words stay open. The second pass gives near-good and open
+good; long ones with few stop words and no full stop are bad; other blocks of few characters or few stop words stay open. The second pass gives near-good and open
 blocks the label of their nearest decided neighbour: of the last and the next good and bad block the one that is fewest
 steps away in the tree of containers. So a paragraph goes with its own section rather
 than with the menu next to it. At equal distance near-good blocks stay and open ones go. A heading
@@ -58,6 +58,7 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden
 _TAG = re.compile(r"""<(?:!--(.*?)(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)(>|\Z))""", re.S)
 #: Elements whose borders set text apart; paragraphs, headings, items and cells follow each other without one.
 _CONTAINER = _BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th tbody thead tfoot hr pre center".split())
+_STOP = re.compile(r"[.!?]")
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -199,7 +200,7 @@ def _first_pass(found: list[Block], s: Settings) -> None:
         stops = sum([w.strip(".,;:!?\"'()") in STOP_WORDS for w in words]) / len(words)
         if b.away or b.linked > s.links * len(b.text) or "\u00a9" in b.text[:40] or (len(b.text) < s.short and b.linked and not b.article):
             b.kind = "bad"
-        elif len(b.text) >= s.short and stops < s.stop_low and not b.article and b.text[-1] not in ".!?":
+        elif len(b.text) >= s.short and stops < s.stop_low and not b.article and not _STOP.search(b.text):
             b.kind = "bad"  # a list of words
         elif len(b.text) < s.short or stops < s.stop_low:
             b.kind = "open"
