@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.llm import bpe, decontaminate, fingerprint, html, langid, lines, neardup, quality, substrings, warc
-from loomtrace.llm.common import crc_mod, table, written
+from loomtrace.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,22 +62,26 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op6_warc",
     """
     WITH f AS (SELECT greatest(1, (coalesce(sum(strlen(html)), 0) + 8388607) // 8388608) AS n FROM pages),
-    r AS (SELECT page_id, page_id % f.n AS file, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+    r AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
             || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Date: 2020-01-01T00:00:00Z' || chr(13) || chr(10)
             || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
             || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
-            || chr(13) || chr(10) || chr(13) || chr(10) AS t FROM pages, f),
-    d AS (SELECT page_id, file::BIGINT AS file, strlen(t)::BIGINT AS length, sha256('leaf:' || t) AS digest FROM r)
+            || chr(13) || chr(10) || chr(13) || chr(10) AS t FROM pages),
+    h AS (SELECT page_id, strlen(t)::BIGINT AS length, sha256('leaf:' || t) AS digest FROM r),
+    d AS (SELECT h.*, ('0x' || substr(digest, 1, 8))::BIGINT % f.n::BIGINT AS file FROM h, f),
+    e AS (SELECT file, sum(length)::BIGINT AS "offset", 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+            || 'WARC-Record-ID: <urn:page:' || (-1 - file) || '>' || chr(13) || chr(10) || 'WARC-Date: 2020-01-01T00:00:00Z' || chr(13) || chr(10)
+            || 'WARC-Target-URI: ' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+            || 'Content-Length: 0' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10) AS t FROM d GROUP BY file)
     SELECT page_id, file, row_number() OVER w - 1 AS place, (sum(length) OVER w - length)::BIGINT AS "offset", length, digest,
            CASE page_id % 97 WHEN 0 THEN 'missing' WHEN 1 THEN 'corrupt' ELSE 'ok' END AS status
     FROM d WINDOW w AS (PARTITION BY file ORDER BY page_id, digest ROWS UNBOUNDED PRECEDING)
+    UNION ALL SELECT -1 - file, file, NULL, "offset", strlen(t)::BIGINT, sha256('leaf:' || t), 'extra' FROM e
     """,
 )
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    layout, _ = written(warc.manifest(pages), "layout")
-    found = warc.fixity(layout, warc.damaged(pages, layout))
-    return found.withColumnRenamed("id", "page_id")
+    layout, replica = warc.drill(table(spark, sf_dir, "pages"))
+    return warc.fixity(layout, replica).withColumnRenamed("id", "page_id")
 
 
 @query(
