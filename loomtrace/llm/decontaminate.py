@@ -10,10 +10,14 @@ common phrases is not.
 Only DataFrame functions run here. The items' windows are broadcast if they are at most
 ``broadcast_rows`` and joined by shuffle otherwise, where hot windows can be split.
 
+Windows with fewer than ``plain`` ordinary tokens say nothing as templates. An item without any other window is
+matched in its own words, numbers and names: its windows of raw tokens, in lower case, are what is hashed, so verbatim
+copies are found and other values are not.
+
 Defined cases: null and empty texts and items match nothing; items shorter than a window are
-matched whole; windows with fewer than ``plain`` ordinary tokens say nothing and are left out, so an
-item made of placeholders alone is never found; equal items are found together; rows equal in key
-and text count as one document listed twice; null keys match like others.
+matched whole; equal items are found together; rows equal in key
+and text count as one document listed twice; null keys match like others; very long texts are read whole; empty tables
+give an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -59,6 +63,11 @@ def canonical(x: Column) -> Column:
     return F.when(x.startswith(_NAME), F.lit("#name")).when(ascii_letter & (first <= "z"), F.lower(x)).when(_is_number(x), number).otherwise(F.lower(x))
 
 
+def verbatim(x: Column) -> Column:
+    """A token as it stands, in lower case and without its mark."""
+    return F.lower(F.ltrim(x, F.lit(_NAME)))
+
+
 def _slot(x: Column) -> Column:
     return x.startswith("#")
 
@@ -75,25 +84,32 @@ def leaks(docs: DataFrame, items: DataFrame, s: Settings = Settings(), key: str
     docs = docs.select(docs[key].alias("key"), F.hash(docs[text]).alias("check"), docs[text].alias("text"))
     base = items.select(items[item].alias("item"), tokens(items[item_text]).alias("raw")).where(F.size("raw") > 0)
     base = base.withColumn("canon", F.transform("raw", canonical))
-    base = base.withColumn("size", F.least(F.lit(s.window), F.size("canon"))).withColumn("template", F.xxhash64("canon"))
+    base = base.withColumn("size", F.least(F.lit(s.window), F.size("canon")))
     ordinary = lambda a: F.size(F.filter(a, lambda x: ~_slot(x)))
     starts = F.sequence(F.lit(0), F.size("canon") - F.col("size"))
-    own = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("canon", i + 1, F.col("size")).alias("part")))
-    own = F.filter(own, lambda w: ordinary(w["part"]) >= F.least(F.lit(s.plain), F.col("size")))
-    own = F.transform(own, lambda w: F.struct(w["at"].alias("at"), F.xxhash64(F.transform(w["part"], lambda x: F.xxhash64(x))).alias("h")))
-    base = base.withColumn("own", own).withColumn("n_windows", F.size("own")).where("n_windows > 0")
+
+    def windows(column: str) -> Column:
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(column, i + 1, F.col("size")).alias("part")))
+
+    hashes = lambda own: F.transform(own, lambda w: F.struct(w["at"].alias("at"), F.xxhash64(F.transform(w["part"], lambda x: F.xxhash64(x))).alias("h")))
+    own = F.filter(windows("canon"), lambda w: ordinary(w["part"]) >= F.least(F.lit(s.plain), F.col("size")))
+    base = base.withColumn("own", hashes(own)).withColumn("exact", F.size("own") == 0)
+    base = base.withColumn("canon", F.when(F.col("exact"), F.transform("raw", verbatim)).otherwise(F.col("canon")))
+    base = base.withColumn("own", F.when(F.col("exact"), hashes(windows("canon"))).otherwise(F.col("own"))).withColumn("n_windows", F.size("own"))
+    base = base.withColumn("template", F.xxhash64("exact", "canon"))
     # Items of one template are joined once, and told apart later by their values.
-    template = base.groupBy("template").agg(F.first("own").alias("own"), F.first("size").alias("size"), F.first("n_windows").alias("n_windows"))
-    lookup = template.select("template", "size", "n_windows", F.explode("own").alias("w")).select("template", "size", "n_windows", F.col("w.at").alias("place"), "w.h")
-    known = lookup.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
-    sizes = sorted(known["sizes"]) or [s.window]
+    template = base.groupBy("template").agg(F.first("own").alias("own"), F.first("size").alias("size"), F.first("n_windows").alias("n_windows"), F.first("exact").alias("exact"))
+    lookup = template.select("template", "size", "n_windows", "exact", F.explode("own").alias("w")).select("template", "size", "n_windows", "exact", F.col("w.at").alias("place"), "w.h")
+    known = lookup.agg(F.count("*").alias("n"), F.collect_set(F.struct("size", "exact")).alias("kinds")).first()
+    kinds = sorted((k["size"], k["exact"]) for k in known["kinds"]) or [(s.window, False)]
     if known["n"] <= s.broadcast_rows:
         lookup = F.broadcast(lookup)
-    hashed = docs.select("key", "check", F.transform(tokens(F.col("text")), lambda x: F.xxhash64(canonical(x))).alias("h"))
+    read = docs.select("key", "check", tokens(F.col("text")).alias("t"))
+    hashed = {exact: read.select("key", "check", F.transform("t", lambda x: F.xxhash64(verbatim(x) if exact else canonical(x))).alias("h")) for exact in (False, True)}
     found = None
-    for n in sizes:  # at most as many as a window has tokens
-        own = lookup.where(F.col("size") == n)
-        got = _hashed_windows(hashed, n).join(own, "h")
+    for n, exact in kinds:  # at most twice as many as a window has tokens
+        own = lookup.where((F.col("size") == n) & (F.col("exact") == exact))
+        got = _hashed_windows(hashed[exact], n).join(own, "h")
         found = got if found is None else found.unionByName(got)
     by_line = found.groupBy("key", "check", "template", (F.col("at") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"), F.max("size").alias("size"), F.max("n_windows").alias("n_windows"))
     enough = lambda m: (m >= F.col("n_windows") * s.coverage) | (m >= s.windows)
@@ -104,7 +120,7 @@ def leaks(docs: DataFrame, items: DataFrame, s: Settings = Settings(), key: str
     # The texts concerned, once more, to compare the tokens themselves.
     texts = docs.alias("d").join(lists.alias("l"), F.col("d.key").eqNullSafe(F.col("l.key")) & (F.col("d.check") == F.col("l.check")))
     texts = texts.select("d.key", "d.check", "template", "lines", "size", "n_windows", tokens(F.col("text")).alias("theirs")).dropDuplicates(["key", "check", "template"])
-    pairs = texts.join(base.select("template", "item", "raw", "canon"), "template")
+    pairs = texts.join(base.select("template", "item", "raw", "canon", "exact"), "template")
     pair = lambda p, shift: F.struct(F.get("raw", p).alias("ours"), F.get("theirs", p + shift).alias("theirs"), F.get("canon", p).alias("kind"))
 
     def compared(line):
@@ -114,7 +130,7 @@ def leaks(docs: DataFrame, items: DataFrame, s: Settings = Settings(), key: str
     checked = F.transform("lines", lambda x: F.struct(x["places"].alias("places"), compared(x).alias("pairs")))
     pairs = pairs.withColumn("checked", checked)
     slots = lambda c: F.filter(c["pairs"], lambda x: _slot(x["kind"]))
-    same = lambda c: F.forall(c["pairs"], lambda x: canonical(x["theirs"]) == x["kind"])
+    same = lambda c: F.forall(c["pairs"], lambda x: F.when(F.col("exact"), verbatim(x["theirs"])).otherwise(canonical(x["theirs"])) == x["kind"])
 
     def consistent(c):
         values = F.array_distinct(F.transform(slots(c), lambda x: F.struct(x["kind"].alias("kind"), x["ours"].alias("ours"), x["theirs"].alias("theirs"))))
