@@ -7,14 +7,18 @@ as there are bins, and for larger sets after a few. Rows of coordinates make ban
 share a band are candidates. Bands are so many that a pair at the threshold is missed with a
 chance under one in a million; what the bands bring together is verified on the full sets.
 
-Equal sets are one class first, so exact copies cost nothing more. The members of a bucket are cut
-into blocks by a hash, and tasks compare two blocks each: no task holds a whole bucket, and none
-writes all pairs, as a forest that spans the links found is enough. Buckets with the same members
-are compared once. Components follow from alternating star steps on the class representatives.
+Equal sets are one class first, so exact copies cost nothing more. Buckets with the same members
+are compared once. No task holds a large bucket, and none writes all pairs, as a forest that spans the links found is
+enough: in a first round the members of a large bucket are cut into blocks by a hash, each member in
+the largest of its large buckets only, and compared within their block. Components follow, from
+alternating star steps on the class representatives. In a second round only those members that are outside
+the bucket's largest component are compared with all other members, block by block; what is in one
+component already needs no further link. So a group of m near copies sends its texts a few times, not m times.
 
 Defined cases: a text without words, empty or null has an empty set and links with nothing; with
 fewer words than a shingle the whole sequence is its one shingle; rows that repeat are exact copies;
-of rows with equal keys each keeps its own set; a row whose key is null links with nothing and is kept.
+of rows with equal keys each keeps its own set; a row whose key is null links with nothing and is kept; of a
+group the smallest key stays; very long texts are read whole; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.llm.common import drop, small_batches, text_bytes, written
@@ -45,14 +49,14 @@ class Settings:
     """words: of a shingle; percent: link if 100 * intersection >= percent * union; rows and bands of the sketch.
 
     A pair at the threshold is missed with a chance of (1 - (percent / 100) ** rows) ** bands.
-    block: members that one task holds at once, twice; block_shingles: the same for their shingles.
+    block: members that one task holds at once, twice in the second round; block_shingles: the same for their shingles.
     """
 
     words: int = 3
     percent: int = 85
     rows: int = 6
     bands: int = 32
-    block: int = 256
+    block: int = 128
     block_shingles: int = 1_000_000
 
 
@@ -140,41 +144,6 @@ def _features(s: Settings):
     return run
 
 
-def _deal(s: Settings):
-    """Rows (key, check, text, groups) to one row for each pair of blocks that the text is compared in.
-
-    The text itself travels: compressed, it is half the size of its shingles' hashes.
-    """
-    names = ["bucket", "one", "two", "key", "body"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
-            groups = batch.column(3)
-            at = groups.offsets.to_numpy()
-            bucket, blocks = (groups.values.field(k).to_numpy() for k in (0, 1))
-            keys = batch.column(0)
-            rows: dict[str, list] = {n: [] for n in names}
-            size = 0
-            for i in range(batch.num_rows):
-                body = data[offsets[i] : offsets[i + 1]].tobytes()
-                key = keys[i].as_py()
-                for g in range(at[i], at[i + 1]):
-                    k = int(blocks[g])
-                    own = xxhash.xxh3_64_intdigest(str(key), seed=int(bucket[g]) & 0xFFFF) % k
-                    for other in range(k):
-                        for n, v in zip(names, (int(bucket[g]), min(own, other), max(own, other), key, body)):
-                            rows[n].append(v)
-                        size += len(body)
-                        if size > 16 << 20:
-                            yield pa.RecordBatch.from_pydict(rows, schema=out)
-                            rows, size = {n: [] for n in names}, 0
-            yield pa.RecordBatch.from_pydict(rows, schema=out)
-
-    out = pa.schema([("bucket", pa.int64()), ("one", pa.int32()), ("two", pa.int32()), ("key", pa.int64()), ("body", pa.binary())])
-    return run
-
-
 def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A forest that spans the links among sets."""
     size = np.array([len(x) for x in sets], np.int64)
@@ -215,7 +184,7 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _verify(s: Settings):
-    """Sorted rows of _deal to links (a, b). Only two blocks are held at a time."""
+    """Rows (bucket, one, two, key, body), sorted by the first three, to links (a, b). Only two blocks are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, texts, out = None, [], [], []
@@ -247,6 +216,57 @@ def _verify(s: Settings):
     return run
 
 
+def _blocks(members: Column, shingles: Column, s: Settings) -> Column:
+    """How many blocks hold so many members with so many shingles."""
+    return F.greatest(F.ceil(members / s.block), F.ceil(shingles / s.block_shingles)).cast("int")
+
+
+def _block(seed: int, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("key")), blocks).cast("int")
+
+
+def _place(bucket: Column, one: Column, two: Column) -> Column:
+    return F.struct(bucket.alias("bucket"), one.cast("int").alias("one"), two.cast("int").alias("two"))
+
+
+def _first_places() -> Column:
+    """The blocks of (key, groups) in which a text is compared first: its small buckets, and its block of its largest bucket."""
+    small = F.transform(F.filter("groups", lambda g: g["blocks"] == 1), lambda g: _place(g["bucket"], F.lit(0), F.lit(0)))
+    large = F.array_max(F.transform(F.filter("groups", lambda g: g["blocks"] > 1), lambda g: F.struct(g["m"].alias("m"), g["bucket"].alias("bucket"), g["blocks"].alias("blocks"))))
+    own = _block(0, large["blocks"])
+    return F.concat(small, F.when(large.isNotNull(), F.array(_place(large["bucket"], own, own))).otherwise(F.array().cast("array<struct<bucket:bigint,one:int,two:int>>")))
+
+
+def _second_places(groups: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
+    """(key, check, places) of the members of large buckets that more than one component has: blocks of those outside the
+    largest component against blocks of all."""
+    large = groups.select("key", "check", "n_shingles", F.explode(F.filter("groups", lambda g: g["blocks"] > 1)).alias("g"))
+    large = large.select("key", "check", "n_shingles", "g.bucket", "g.blocks").join(found, F.col("key") == F.col("node"), "left")
+    large = large.select("key", "check", "n_shingles", "bucket", "blocks", F.coalesce("component", "key").alias("component"))
+    tally = large.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    tally = tally.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "shingles", "component")).alias("lead")).where(F.col("n") > F.col("lead.n"))
+    outside = _blocks(F.col("n") - F.col("lead.n"), F.col("shingles") - F.col("lead.shingles"), s)
+    tally = tally.select("bucket", F.col("lead.component").alias("lead"), outside.alias("columns"))
+    large = large.join(tally, "bucket")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    among_all = F.transform(upto(F.col("columns")), lambda i: _place(F.col("bucket"), _block(1, F.col("blocks")), i))
+    among_outside = F.transform(upto(F.col("blocks")), lambda i: _place(F.col("bucket"), i, _block(2, F.col("columns"))))
+    places = F.when(F.col("component") == F.col("lead"), among_all).otherwise(F.array_distinct(F.concat(among_all, among_outside)))
+    return large.groupBy("key", "check").agg(F.flatten(F.collect_list(places)).alias("places"))
+
+
+def _compared(docs: DataFrame, places: DataFrame, s: Settings) -> tuple[DataFrame, str]:
+    """The links (a, b) among the texts that meet in one of their places, as a written table, and its path.
+
+    The text itself travels: compressed, it is half the size of its shingles' hashes.
+    """
+    texts = docs.join(places, ["key", "check"]).dropDuplicates(["key", "check"])
+    dealt = texts.select(F.explode("places").alias("p"), "key", F.col("text").cast("binary").alias("body")).select("p.bucket", "p.one", "p.two", "key", "body")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["bucket", "one", "two"]
+    return written(dealt.repartition(4 * n, *order).sortWithinPartitions(*order).mapInArrow(_verify(s), "a long, b long").distinct(), "links")
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row as key, n_shingles, component_id (the smallest key it is linked with) and kept.
 
@@ -266,16 +286,20 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("shingles"), F.bit_xor(F.xxhash64("key", "check")).alias("who"), F.min("key").alias("least")).where("m > 1")
     # Pairs of texts share many bands: of buckets with the same members one is enough.
     buckets = buckets.groupBy("m", "who", "shingles", "least").agg(F.min("bucket").alias("bucket"))
-    blocks = F.greatest(F.ceil(F.col("m") / s.block), F.ceil(F.col("shingles") / s.block_shingles)).cast("int")
-    groups = banded.join(buckets.select("bucket", blocks.alias("blocks")), "bucket").groupBy("key", "check").agg(F.collect_list(F.struct("bucket", "blocks")).alias("groups"))
-    texts = docs.join(groups, ["key", "check"]).dropDuplicates(["key", "check"]).select("key", "check", "text", "groups")
-    dealt = texts.mapInArrow(_deal(s), "bucket long, one int, two int, key long, body binary")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["bucket", "one", "two"]
-    edges = dealt.repartition(4 * n, *order).sortWithinPartitions(*order).mapInArrow(_verify(s), "a long, b long").distinct()
-    edges, edges_path = written(edges, "links")
+    blocks = _blocks(F.col("m"), F.col("shingles"), s)
+    groups = banded.join(buckets.select("bucket", "m", blocks.alias("blocks")), "bucket")
+    groups = groups.groupBy("key", "check", "n_shingles").agg(F.collect_list(F.struct("bucket", "m", "blocks")).alias("groups"))
+    groups, groups_path = written(groups, "groups")
+    edges, edges_path = _compared(docs, groups.select("key", "check", _first_places().alias("places")), s)
     found, found_path = components(edges)
-    drop(spark, edges_path)
+    places, places_path = written(_second_places(groups, found, s), "places")
+    if not places.isEmpty():
+        more, more_path = _compared(docs, places, s)
+        # The stars found so far stand for the links of the first round.
+        edges = more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        found, _ = components(edges)
+        drop(spark, more_path, found_path)
+    drop(spark, edges_path, groups_path, places_path)
     member = classes.join(found, classes["rep"] == found["node"], "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = features.select("key", "check", "n_shingles", "d1", "d2").join(member, ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("key").isNull() | (F.col("n_shingles") == 0), F.col("key")).otherwise(F.col("component"))

@@ -92,3 +92,33 @@ def test_many_repeated_rows_stay_one_class(spark):
     rows = [(1, "one text that comes again and again")] * 3000 + [(2, "another text of its own that stays"), (3, "one text that comes again and again")]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id, r.component_id, r.kept, r["count"]) for r in got.groupBy("doc_id", "component_id", "kept").count().collect()) == [(1, 1, True, 3000), (2, 2, True, 1), (3, 1, False, 1)]
+
+
+def test_a_large_group_sends_each_text_a_few_times(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(700):
+        words = list(base)
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    # A chain hangs on the group by its first link only, and a group of its own shares no word.
+    rows += [(5000 + k, " ".join(base[: 120 - 6 * (k + 1)])) for k in range(3)] + [(6000 + k, " ".join(f"v{i}" for i in range(100 + k))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = []
+    real = neardup._compared
+
+    def counted(docs, places, s):
+        sent.append(places.agg(F.sum(F.size("places"))).first()[0])
+        return real(docs, places, s)
+
+    neardup._compared = counted
+    try:
+        got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in neardup.near_duplicates(docs, Settings(block=16)).collect())
+    finally:
+        neardup._compared = real
+    assert got == brute(rows, 3, 85)
+    assert sum(sent) < 45 * len(rows)
