@@ -14,11 +14,15 @@ suffix of a corpus would move hundreds of times its size, so only anchored suffi
 3. window by window, by the same sort: its windows are suffixes whose key is their first eight
    bytes and a 128-bit digest of all ``length`` bytes.
 
+Shorter passages are not removed but counted: ``shared_passages`` takes the anchors of ``passage`` byte strings
+(some 50 words) and counts, for each text, those whose gram also stands in another row.
+
 Rows of one key may lie in several buckets: splitters also hold a hash of the row, so a passage that
 a third of all documents share is sorted by many tasks, and only neighbours are ever compared.
 
 Defined cases: a null text is empty; texts under ``length`` bytes lose nothing; rows that repeat are
-occurrences of their own, and all of them lose what they share; a null key is a key like others.
+occurrences of their own, and all of them lose what they share; a null key is a key like others; texts of any
+length are read whole; an empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,12 +47,16 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    """length: bytes of a string that must not repeat; gram: bytes of an anchor's hash; bucket_rows: aimed at for a sorted bucket."""
+    """length: bytes of a string that must not repeat; gram: bytes of an anchor's hash; bucket_rows: aimed at for a sorted bucket;
+    small: rows that the quicksort leaves to a plain sort; passage, passage_gram: the same as length and gram for passages that are only counted."""
 
     length: int = 400
     gram: int = 256
     bucket_rows: int = 100_000
     sample_rows: int = 40_000
+    small: int = 4096
+    passage: int = 272
+    passage_gram: int = 128
 
 
 class _Powers:
@@ -121,30 +129,29 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, _U).view(np.int64)
 
 
-def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
-    """The order that sorts rows by several keys.
+def multikey_order(keys: list[np.ndarray], small: int = Settings.small) -> np.ndarray:
+    """The order that sorts rows by several keys: multikey quicksort.
 
-    Multikey quicksort, all partitions of a level at once: rows are split by one key, and only those
-    that are equal so far go on to the next key, within their own part.
+    A part is split by a pivot of its current key into lesser, equal and greater rows; only the equal
+    ones go on to the next key. Parts of at most ``small`` rows are sorted at once by all keys that are left.
     """
-    order = np.argsort(keys[0], kind="stable")
-    same = np.zeros(len(order), bool)
-    if len(order):
-        same[1:] = keys[0][order[1:]] == keys[0][order[:-1]]
-    for key in keys[1:]:
-        open_ = same.copy()
-        open_[:-1] |= same[1:]
-        at = np.flatnonzero(open_)
-        if not len(at):
-            break
-        rows = order[at]
-        part = np.cumsum(~same[at])
-        inner = np.lexsort((key[rows], part))
-        order[at] = rows[inner]
-        again = key[order[at]]
-        equal = np.zeros(len(at), bool)
-        equal[1:] = again[1:] == again[:-1]
-        same[at] &= equal
+    order = np.arange(len(keys[0]))
+    todo = [(0, len(order), 0)]
+    while todo:
+        low, high, depth = todo.pop()
+        if depth == len(keys) or high - low < 2:
+            continue
+        rows = order[low:high]
+        if high - low <= small:
+            order[low:high] = rows[np.lexsort(tuple(k[rows] for k in keys[:depth - 1 if depth else None : -1]))]
+            continue
+        x = keys[depth][rows]
+        pivot = np.sort(x[:: max(1, len(x) // 255)])
+        pivot = pivot[len(pivot) // 2]
+        less, more = x < pivot, x > pivot
+        a, b = int(less.sum()), int(more.sum())
+        order[low:high] = np.concatenate((rows[less], rows[~(less | more)], rows[more]))
+        todo += [(low, low + a, depth), (low + a, high - b, depth + 1), (high - b, high, depth)]
     return order
 
 
@@ -335,7 +342,7 @@ def _finish(finish: Finish, names: list[str], kinds: list[pa.DataType], last: bo
             cols = [pa.array(v, k) for v, k in zip(zip(*values), kinds)] if values else [pa.array([], k) for k in kinds]
             spans = pa.array(spans, pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))
             if last:
-                yield pa.RecordBatch.from_arrays([batch.column(0), spans, *cols], names=["key", "spans", *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), spans, *cols], names=["key", "check", "spans", *names])
             else:
                 text = pa.compute.if_else(pa.array(later), batch.column(2), pa.scalar(None, batch.column(2).type))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text, spans, batch.column(4), *cols], names=["key", "check", "text", "spans", "starts", *names])
@@ -344,7 +351,7 @@ def _finish(finish: Finish, names: list[str], kinds: list[pa.DataType], last: bo
 
 
 def remove_repeats(docs: DataFrame, finish: Finish, fields: list[tuple[str, str, pa.DataType]], s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row as key, ``spans`` (the sorted, separate byte intervals that repeat) and what ``finish`` makes of its bytes and these.
+    """Every row as ``key``, ``check`` (a hash of its text), ``spans`` (the sorted, separate byte intervals that repeat) and what ``finish`` makes of its bytes and these.
 
     fields: name, SQL type and Arrow type of each value that ``finish`` returns.
     """
@@ -384,8 +391,8 @@ def remove_repeats(docs: DataFrame, finish: Finish, fields: list[tuple[str, str,
     hits, _ = compare(windows.mapInArrow(windows_of, own), sample.mapInArrow(windows_of, own), share, s, "windows")
     found = hits.where("covered").groupBy("key", "check").agg(F.collect_list(F.struct("low", (F.col("high") + s.length).alias("high"))).alias("more"))
     rest = opened.join(found, same(opened, found), "left").select(opened["key"], opened["check"], "text", "spans", whole("more"))
-    rest = rest.mapInArrow(_finish(finish, made_names, made_kinds, True), f"key {kind}, spans {_SPANS}, {made}")
-    return held.where(F.size("starts") == 0).select("key", "spans", *made_names).unionByName(rest).withColumnRenamed("key", key)
+    rest = rest.mapInArrow(_finish(finish, made_names, made_kinds, True), f"key {kind}, check int, spans {_SPANS}, {made}")
+    return held.where(F.size("starts") == 0).select("key", "check", "spans", *made_names).unionByName(rest)
 
 
 def _pieces(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[bytes]:
@@ -412,6 +419,32 @@ KEPT = [("kept", "binary", pa.binary())]
 DIGESTS = [("n_bytes", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("n_spans", "long", pa.int64()), ("kept_sha256", "string", pa.string())]
 
 
+def shared_passages(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, check, n_shared_passages) of the rows that share an anchored gram of a passage with another row."""
+    short = Settings(length=s.passage, gram=s.passage_gram)
+    small_batches(docs.sparkSession)
+    docs = docs.select(docs[key].alias("key"), F.hash(docs[text]).alias("check"), docs[text].alias("text"))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(2))
+            found = []
+            for i in range(batch.num_rows):
+                own = data[offsets[i] : offsets[i + 1]]
+                at = blocks(own, short)[0]
+                found.append(np.unique(gram_hashes(own, short.gram)[at]) if len(at) else np.zeros(0, _U))
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in found]))
+            flat = np.concatenate(found) if found else np.zeros(0, _U)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(flat.view(np.int64))], names=["key", "check", "gram"])
+
+    rows = docs.mapInArrow(grams, f"key {docs.schema['key'].dataType.simpleString()}, check int, gram long")
+    often = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(often, "gram", "left_semi").groupBy("key", "check").agg(F.count_distinct("gram").alias("n_shared_passages"))
+
+
 def removal_digests(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    return remove_repeats(docs, digests, DIGESTS, s, key, text).select(key, *(n for n, _, _ in DIGESTS))
+    """key, n_bytes, n_removed, n_spans and kept_sha256 of every row, then n_shared_passages."""
+    done = remove_repeats(docs, digests, DIGESTS, s, key, text).alias("d")
+    shared = shared_passages(docs, s, key, text).alias("p")
+    joined = done.join(shared, F.col("d.key").eqNullSafe(F.col("p.key")) & F.col("d.check").eqNullSafe(F.col("p.check")), "left")
+    return joined.select(F.col("d.key").alias(key), *(n for n, _, _ in DIGESTS), F.coalesce("n_shared_passages", F.lit(0).cast("long")).alias("n_shared_passages"))
