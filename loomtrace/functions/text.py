@@ -5,10 +5,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Fixed values.
 WH_WORDS = ("why", "how", "what", "where", "when", "who", "which", "whose", "whom")
@@ -21,7 +19,7 @@ LANGUAGES = {
     "es": "Spanish", "et": "Estonian", "fa": "Persian", "fi": "Finnish", "fr": "French", "gu": "Gujarati", "he": "Hebrew", "hi": "Hindi", "hr": "Croatian", "hu": "Hungarian", "id": "Indonesian",
     "it": "Italian", "ja": "Japanese", "kn": "Kannada", "ko": "Korean", "lt": "Lithuanian", "lv": "Latvian", "mk": "Macedonian", "ml": "Malayalam", "mr": "Marathi", "ne": "Nepali", "nl": "Dutch",
     "no": "Norwegian", "pa": "Punjabi", "pl": "Polish", "pt": "Portuguese", "ro": "Romanian", "ru": "Russian", "sk": "Slovak", "sl": "Slovenian", "so": "Somali", "sq": "Albanian", "sv": "Swedish",
-    "sw": "Swahili", "ta": "Tamil", "te": "Telugu", "th": "Thai", "tl": "Tagalog", "tr": "Turkish", "uk": "Ukrainian", "ur": "Urdu", "vi": "Vietnamese", "zh-cn": "Chinese", "zh-tw": "Chinese",
+    "sw": "Swahili", "ta": "Tamil", "te": "Telugu", "th": "Thai", "tl": "Tagalog", "tr": "Turkish", "uk": "Ukrainian", "ur": "Urdu", "vi": "Vietnamese", "zh-cn": "Chinese (Simplified)", "zh-tw": "Chinese (Traditional)",
 }
 
 
@@ -40,24 +38,40 @@ def is_clause(x: Column) -> Column:
 
 
 def is_url(x: Column) -> Column:
-    return x.rlike(r"^\w+:")
+    """Whether a text begins like an address: with a scheme, or as a path from here or from the server."""
+    return F.trim(x).rlike(r"^(\w+:|\.\.?/|//)")
 
 
 def is_html(x: Column) -> Column:
-    return x.rlike(r"<[^>]+>")
+    """Whether a text begins with a tag."""
+    return x.rlike(r"""^<("[^"]*"['"]*|'[^']*'['"]*|[^'">])+>""")
 
 
-@F.pandas_udf(StringType())
-def ascii_fold(x: pd.Series) -> pd.Series:
-    """NFKC, trimmed, accents dropped. Signs without an ASCII form stay."""
+# Letters that no decomposition gives, and what they become.
+_LETTERS = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "þ": "th", "Þ": "Th", "ı": "i", "ﬁ": "fi", "ﬂ": "fl"}
 
-    def fold(t):
-        if t is None:
-            return None
-        t = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", t).strip())
-        return "".join(c for c in t if not unicodedata.combining(c))
 
-    return x.map(fold)
+def _folds() -> tuple[str, str, str]:
+    """Signs with a one-letter ASCII form, these forms, and combining marks, which vanish."""
+    signs = [chr(c) for c in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2070), *range(0xFF01, 0xFF5F))]
+    forms = {c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in signs if c not in _LETTERS}
+    forms = {c: f for c, f in forms.items() if len(f) == 1 and f != c and f.isascii()}
+    # Quotation marks and dashes.
+    forms |= dict(zip("‘’“”–—", "''\"\"--"))
+    return "".join(forms), "".join(forms.values()), "".join(map(chr, range(0x300, 0x370)))
+
+
+_SIGNS, _FORMS, _MARKS = _folds()
+
+
+def ascii_fold(x: Column) -> Column:
+    """Trimmed, Latin letters and full-width signs in their ASCII form, accents dropped. Signs of other scripts stay."""
+    x = F.translate(F.trim(x), _SIGNS + _MARKS, _FORMS)
+    for sign, form in _LETTERS.items():
+        if len(form) > 1:
+            x = F.replace(x, F.lit(sign), F.lit(form))
+    ones = {k: v for k, v in _LETTERS.items() if len(v) == 1}
+    return F.translate(x, "".join(ones), "".join(ones.values()))
 
 
 def clean_content(x: Column, remove_footnote: bool = False, remove_newlines: bool = False) -> Column:
@@ -89,23 +103,43 @@ def strip_tags(x: Column) -> Column:
 
 
 def uid(x: Column) -> Column:
-    return F.upper(F.md5(x.cast("binary")))
+    """The MD5 digest of a text in base 36, without leading zeros."""
+    digest = F.md5(x.cast("binary"))
+    words = F.array(*(F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("bigint") for k in range(4)))
+    five = 36**5
+
+    def step(state: Column) -> Column:
+        # One long division of four 32-bit words by 36 ** 5: the remainder is five digits.
+        start = F.struct(F.array().cast("array<bigint>").alias("q"), F.lit(0).cast("bigint").alias("r"))
+
+        def divide(a: Column, w: Column) -> Column:
+            n = F.shiftleft(a["r"], 32) + w
+            return F.struct(F.concat(a["q"], F.array(F.call_function("div", n, F.lit(five).cast("bigint")))).alias("q"), (n % five).alias("r"))
+
+        done = F.aggregate(state["words"], start, divide)
+        digits = F.lpad(F.conv(done["r"].cast("string"), 10, 36), 5, "0")
+        return F.struct(done["q"].alias("words"), F.concat(digits, state["text"]).alias("text"))
+
+    start = F.struct(words.alias("words"), F.lit("").alias("text"))
+    text = F.aggregate(F.sequence(F.lit(1), F.lit(5)), start, lambda s, _: step(s), lambda s: s["text"])
+    return F.when(x.isNotNull(), F.regexp_replace(text, "^0+(?=.)", ""))
 
 
 def uri_of(x: Column, most: int = 25) -> Column:
-    """A text's name: lower case, blanks as underscores; long texts by digest."""
-    name = F.regexp_replace(F.regexp_replace(F.trim(F.lower(x)), " ", "_"), r"\s", "")
+    """A text's name: ASCII, lower case, blanks as underscores; long texts by digest."""
+    name = F.regexp_replace(F.regexp_replace(F.trim(F.lower(ascii_fold(x))), " ", "_"), r"\s", "")
     return F.when(F.length(name) < most, name).otherwise(uid(name))
 
 
 def explode_key(x: Column) -> Column:
-    """A name as words: prefix dropped, underscores and camel case split, single capitals kept together."""
-    x = F.regexp_replace(F.regexp_replace(x, r"^[^:]*:", ""), r"[_-]", " ")
-    x = F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1_000_000))
-    parts = F.transform(F.regexp_extract_all(x, F.lit("([0-9A-Z][^A-Z]*)"), F.lit(1)), lambda p: F.trim(p))
+    """A name as words: underscores and camel case split, a prefix dropped where there is one, single capitals kept together."""
+    x = F.regexp_replace(x, r"[_-]", " ")
+    x = F.when(F.size(F.split(x, ":", -1)) == 2, F.get(F.split(x, ":", -1), 1)).otherwise(x)
+    x = F.concat(F.upper(F.substr(x, F.lit(1), F.lit(1))), F.substr(x, F.lit(2)))
+    parts = F.regexp_extract_all(x, F.lit("([0-9A-Z][^A-Z]*)"), F.lit(1))
     # A single capital goes to the word before it.
     joined = F.aggregate(parts, F.lit(""), lambda a, p: F.when((F.length(p) == 1) | (a == ""), F.concat(a, p)).otherwise(F.concat(a, F.lit(" "), p)))
-    return F.when(F.size(parts) == 0, x).otherwise(joined)
+    return F.trim(F.regexp_replace(joined, " +", " "))
 
 
 def balance_brackets(x: Column) -> Column:
@@ -138,6 +172,7 @@ def labels_are_contained(a: Column, b: Column, threshold: float = 0.3, ordered:
     return found & (F.length(a) <= F.length(b)) if ordered else found
 
 
+# Fixed value: how a line of a list begins.
 _MARKER = r"^\s*(\d+\.|\(\w+\)|\w\)|\d+\)|\d*\-|\w\-)\s*"
 
 
@@ -191,7 +226,8 @@ def p_value_text(p: Column) -> Column:
 
 
 def language_name(code: Column) -> Column:
-    return F.element_at(F.create_map(*(F.lit(v) for pair in LANGUAGES.items() for v in pair)), code)
+    """A language's name, empty for an unknown code."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for pair in LANGUAGES.items() for v in pair)), code), F.lit(""))
 
 
 def without_brackets(x: Column) -> Column:

@@ -52,9 +52,14 @@ def annotate(texts: DataFrame, labels: DataFrame) -> DataFrame:
     Labels are joined on their first word, so a text is compared with those only that begin with one of its words.
     """
     split = lambda c: F.split(F.lower(F.col(c)), r"[^\p{L}\p{N}]+")
-    words = texts.select("doc_id", F.concat(F.lit(" "), F.array_join(split("text"), " "), F.lit(" ")).alias("flat"), F.explode(F.array_distinct(split("text"))).alias("word"))
+    # Words travel without their text; a text comes back once, to those labels that begin with one of its words.
+    words = texts.select("doc_id", F.explode(F.array_distinct(split("text"))).alias("word"))
     keyed = labels.select("uri", "label", F.array_join(split("label"), " ").alias("name"), F.get(split("label"), 0).alias("word")).where("word <> ''")
-    return words.join(keyed, "word").where(F.col("flat").contains(F.concat(F.lit(" "), F.col("name"), F.lit(" ")))).select("doc_id", "uri", "label").distinct()
+    near = words.join(keyed, "word").groupBy("doc_id").agg(F.collect_set(F.struct("uri", "label", "name")).alias("near"))
+    flat = F.concat(F.lit(" "), F.array_join(split("text"), " "), F.lit(" "))
+    held = texts.join(near, "doc_id").select("doc_id", "near", flat.alias("flat"))
+    held = held.select("doc_id", F.explode(F.filter("near", lambda x: F.col("flat").contains(F.concat(F.lit(" "), x["name"], F.lit(" "))))).alias("x"))
+    return held.select("doc_id", "x.uri", "x.label").distinct()
 
 
 def annotate_html(page: str, labels: Sequence[tuple[str, str]]) -> str:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from statistics import NormalDist
 
 import numpy as np
@@ -89,6 +89,45 @@ def wilcoxon(rows: DataFrame, difference: Column, group: Sequence[str] = (), pra
     return out.select(*group, "n", "w_plus", "w_minus", ((F.col("w_plus") - mean) / (F.sqrt("squares") / 2)).alias("z"))
 
 
+def upper_tail(z: Column) -> Column:
+    """The chance of a normal deviate above z, to seven digits."""
+    # The coefficients of a rational approximation.
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
+    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+
+def strategy_pairs(ratings: DataFrame, strategies: Sequence[str], pratt: bool = True) -> DataFrame:
+    """(metric, first, second, n, w_plus, w_minus, z, p): the signed-rank test of every two strategies over question means.
+
+    p is that of the second being greater than the first.
+    """
+    means = question_means(ratings, strategies)
+    pairs = [(a, b) for i, a in enumerate(strategies) for b in strategies[i + 1 :]]
+    each = F.array(*(F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), (F.col(a) - F.col(b)).alias("d")) for a, b in pairs))
+    rows = means.select("metric", F.explode(each).alias("x")).select("metric", "x.first", "x.second", F.round("x.d", 9).alias("d"))
+    done = wilcoxon(rows, F.col("d"), ["metric", "first", "second"], pratt)
+    return done.withColumn("p", 1 - upper_tail(F.col("z")))
+
+
+def two_sample_bootstrap(rows: DataFrame, value: str, side: Column, draws: int, function: Callable[[Column, Column], Column], steps: tuple[tuple[int, int], tuple[int, int]] | None = None, statistic=F.avg, order: str | None = None) -> DataFrame:
+    """(draw, value): a function of a statistic of each side, both resampled on their own."""
+    rows = rows.withColumn("_side", side)
+    a, b = (
+        bootstrap(rows.where(F.col("_side") == (k == 0)), value, draws, steps[k] if steps else None, seed=5 + k, statistic=statistic, order=order).withColumnRenamed("value", f"v{k}")
+        for k in (0, 1)
+    )
+    return a.join(b, "draw").select("draw", function(F.col("v0"), F.col("v1")).alias("value"))
+
+
+def compare_models(ratings: DataFrame, model: str, first: str, second: str) -> DataFrame:
+    """(metric, strategy, n1, n2, u, z, p): Mann-Whitney of one model's scores against another's; p of the first being greater."""
+    rows = ratings.where(F.col(model).isin(first, second)).select("metric", "strategy", model, "score")
+    done = mann_whitney(rows, "score", F.col(model) == first, ["metric", "strategy"])
+    return done.withColumn("p", upper_tail(F.col("z")))
+
+
 def cohens_dz(z: Column, n: Column) -> Column:
     return z / F.sqrt(n)
 
@@ -172,9 +211,9 @@ def all_ten(evaluations: Column) -> Column:
 
 
 def study_rows(responses: DataFrame, topics: Sequence[str], seconds: int = 360) -> DataFrame:
-    """Responses with feedback that, on the topics named, took their time and aren't all tens."""
+    """Responses with feedback, be it empty, that on the topics named took their time and aren't all tens."""
     chosen = F.filter("evaluation_list", lambda e: e["topic"].isin(*topics))
-    out = responses.where(F.col("qualitative_feedback").isNotNull() & (F.col("qualitative_feedback") != "")).withColumn("evaluation_list", chosen).where(F.size("evaluation_list") > 0)
+    out = responses.where("qualitative_feedback is not null").withColumn("evaluation_list", chosen).where(F.size("evaluation_list") > 0)
     spent = F.aggregate("evaluation_list", F.lit(0), lambda s, e: s + e["elapsed_seconds"])
     return out.where((spent >= seconds) & ~all_ten(F.col("evaluation_list")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.operators import ordered, planner, vectors
-from loomtrace.plans import graph, misc, planning, retrieval, stats, text  # noqa: F401  (they register their queries)
+from loomtrace.plans import graph, misc, more, planning, retrieval, stats, text  # noqa: F401  (they register their queries)
 from loomtrace.plans.catalogue import table
 
 

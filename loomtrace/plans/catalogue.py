@@ -22,5 +22,12 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def uid_sql(x: str) -> str:
+    """DuckDB's form of the base 36 digest: five parts of five digits each."""
+    n = f"('0x' || md5({x}))::UHUGEINT"
+    parts = [f"lower(to_base((({n} // {36 ** (5 * k)}::UHUGEINT) % {36**5}::UHUGEINT)::BIGINT, 36, 5))" for k in range(4, -1, -1)]
+    return f"upper(ltrim({' || '.join(parts)}, '0'))"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomtrace.functions import vocabulary as V
 from loomtrace.operators import graph as G
 from loomtrace.operators import triples as R
-from loomtrace.plans.catalogue import query, table
+from loomtrace.plans.catalogue import query, table, uid_sql
 
 _TAXONOMY = """
     tax AS (SELECT 'n' || n_nationkey AS s, 'rdfs:subClassOf' AS p, 'r' || n_regionkey AS o FROM nation
@@ -182,13 +182,13 @@ def provenance_chain(spark, sf):
     """
     WITH t AS (SELECT n_name AS subj, r_name AS obj FROM nation JOIN region ON r_regionkey = n_regionkey),
     u AS (SELECT *, 'my:' || regexp_replace(replace(trim(lower(subj)), ' ', '_'), '\\s', '', 'g') AS s, 'my:' || regexp_replace(replace(trim(lower(obj)), ' ', '_'), '\\s', '', 'g') AS o, subj || ' is in ' || obj AS sent FROM t),
-    k AS (SELECT *, '_:' || upper(md5(subj || ' is in ' || obj || ' ' || sent)) AS span, '_:' || upper(md5(sent)) AS sid, '_:' || upper(md5('All nations.')) AS pid FROM u),
+    k AS (SELECT *, '_:' || UID1 AS span, '_:' || UID2 AS sid, '_:' || UID3 AS pid FROM u),
     e AS (SELECT unnest([{'s': s, 'p': '{subj} is in {obj}', 'o': o}, {'s': s, 'p': 'rdfs:label', 'o': subj}, {'s': o, 'p': 'rdfs:label', 'o': obj}, {'s': s, 'p': 'my:spanID', 'o': span},
       {'s': o, 'p': 'my:spanID', 'o': span}, {'s': '{subj} is in {obj}', 'p': 'my:spanID', 'o': span}, {'s': s || chr(1) || '{subj} is in {obj}' || chr(1) || o, 'p': 'my:spanID', 'o': span},
       {'s': span, 'p': 'rdfs:label', 'o': 'is in'}, {'s': span, 'p': 'my:sentID', 'o': sid}, {'s': sid, 'p': 'my:sentLabel', 'o': sent}, {'s': sid, 'p': 'my:paraID', 'o': pid},
       {'s': pid, 'p': 'my:content', 'o': 'All nations.'}, {'s': pid, 'p': 'my:docID', 'o': 'atlas'}, {'s': pid, 'p': 'my:language_id', 'o': 'en'}, {'s': '{subj} is in {obj}', 'p': 'my:verb', 'o': 'be'}]) AS e FROM k)
     SELECT DISTINCT e.s AS s, e.p AS p, e.o AS o FROM e
-    """,
+    """.replace("UID1", uid_sql("subj || ' is in ' || obj || ' ' || sent")).replace("UID2", uid_sql("sent")).replace("UID3", uid_sql("'All nations.'")),
 )
 def edge_builder(spark, sf):
     rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))

@@ -169,6 +169,6 @@ def study_filter_all_ten(spark, sf):
     topic = F.when(k % 3 == 0, "java").when(k % 3 == 1, "python").otherwise("other")
     one = F.struct(k.cast("string").alias("question"), topic.alias("topic"), dictionary.alias("evaluation_dict"), (k % 97 + 20).cast("int").alias("elapsed_seconds"))
     rows = table(spark, sf, "events").groupBy(F.col("user_id").alias("username")).agg(F.collect_list(one).alias("evaluation_list"))
-    rows = rows.withColumn("qualitative_feedback", F.when(F.col("username") % 5 == 0, "").otherwise("fine"))
+    rows = rows.withColumn("qualitative_feedback", F.when(F.col("username") % 5 == 0, F.lit(None)).when(F.col("username") % 7 == 0, "").otherwise("fine"))
     kept = scoring.study_rows(rows, ["java", "python"])
     return kept.select("username", F.size("evaluation_list").alias("evaluations"), F.aggregate("evaluation_list", F.lit(0).cast("long"), lambda s, e: s + e["elapsed_seconds"]).alias("seconds"))

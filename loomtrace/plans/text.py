@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrace.functions import text as T
-from loomtrace.plans.catalogue import query, table
+from loomtrace.plans.catalogue import query, table, uid_sql
 
 # Frequent words of four languages.
 VOTES = {
@@ -123,25 +123,31 @@ def label_containment(spark, sf):
 @query(
     "uri_from_text",
     r"""
-    WITH t AS (SELECT p_partkey, lower(p_name || CASE WHEN p_partkey % 3 = 0 THEN ' of the brand ' || p_brand ELSE '' END) AS n FROM part),
-    u AS (SELECT p_partkey, regexp_replace(replace(trim(n), ' ', '_'), '\s', '', 'g') AS n FROM t)
-    SELECT p_partkey, CASE WHEN length(n) < 25 THEN n ELSE upper(md5(n)) END AS uri FROM u
+    WITH t AS (SELECT p_partkey, p_name || CASE p_partkey % 3 WHEN 0 THEN ' of the brand ' || p_brand WHEN 1 THEN ' Größe é' ELSE '' END AS n FROM part),
+    u AS (SELECT p_partkey, regexp_replace(replace(trim(lower(strip_accents(replace(n, 'ß', 'ss')))), ' ', '_'), '\s', '', 'g') AS n FROM t)
+    SELECT p_partkey, CASE WHEN length(n) < 25 THEN n ELSE """
+    + uid_sql("n")
+    + """ END AS uri FROM u
     """,
 )
 def uri_from_text(spark, sf):
-    name = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" of the brand "), F.col("p_brand"))).otherwise(F.lit("")))
+    turn = F.col("p_partkey") % 3
+    name = F.concat("p_name", F.when(turn == 0, F.concat(F.lit(" of the brand "), F.col("p_brand"))).when(turn == 1, " Größe é").otherwise(""))
     return table(spark, sf, "part").select("p_partkey", T.uri_of(name).alias("uri"))
 
 
 @query(
     "explode_key",
     r"""
-    SELECT DISTINCT p_brand, 'Part Name ' || replace(p_brand, '#', '') AS words FROM part
+    SELECT DISTINCT p_brand, 'Part Name ' || replace(p_brand, '#', '') AS words, 'A:b:' || replace(p_brand, '#', '') AS whole FROM part
     """,
 )
 def explode_key(spark, sf):
     key = F.concat(F.lit("my:partName_"), F.replace("p_brand", F.lit("#"), F.lit("")))
-    return table(spark, sf, "part").select("p_brand").distinct().select("p_brand", F.regexp_replace(T.explode_key(key), r" (\d)", "$1").alias("words"))
+    brand = F.replace("p_brand", F.lit("#"), F.lit(""))
+    close = lambda x: F.regexp_replace(x, r" (\d)", "$1")
+    whole = F.replace(close(T.explode_key(F.concat(F.lit("a:b:"), brand))), F.lit(" Brand"), F.lit("Brand"))
+    return table(spark, sf, "part").select("p_brand").distinct().select("p_brand", close(T.explode_key(key)).alias("words"), whole.alias("whole"))
 
 
 @query(
