@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtrace.functions.text import answer_block, count_tokens
+from loomtrace.functions.text import answer_block, count_tokens, labels_are_similar, syntactic_distance
 from loomtrace.operators.state import cut
 from loomtrace.operators.ordered import budget_prefix, first_seen, top_per_group
 from loomtrace.operators.vectors import top_k
@@ -19,7 +19,8 @@ def containers(texts: DataFrame, text: str = "text", group: Sequence[str] = ())
     Texts of white-space words are joined on a word of the inner text that few texts have, so that
     contained pairs meet without comparing all: any text that holds another also has, as a piece of
     itself, each of its middle words. Inner texts of fewer than three words have no such word for
-    certain and are joined on their group.
+    certain: one word lies within a word of the outer text and is found by its first letters among all letter
+    runs of that word; of two words the first ends a word of the outer text and is found by its last letters.
     """
     words = F.split(F.trim(F.col(text)), r"\s+")
     base = texts.select(*group, text).distinct().where(F.col(text).isNotNull())
@@ -28,11 +29,47 @@ def containers(texts: DataFrame, text: str = "text", group: Sequence[str] = ())
     middle = base.select(*group, F.col(text).alias("inner"), F.explode(F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))).alias("word"))
     rare = middle.join(common, [*group, "word"]).groupBy(*group, "inner").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
     found = rare.join(each, [*group, "word"]).where(F.col("outer").contains(F.col("inner")) & (F.col("outer") != F.col("inner"))).select(*group, "inner", "outer")
-    short = base.where(F.size(words) < 3).select(*group, F.col(text).alias("inner"))
-    long = base.select(*group, F.col(text).alias("outer"))
+    # Distinct words stand for the texts until a word is known to fit.
+    known = each.select(*group, "word").distinct()
+    runs = F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda g: F.when(F.length("word") >= g, F.transform(F.sequence(F.lit(1), F.length("word") - g + 1), lambda i: F.concat(F.lit("in "), F.substring(F.col("word"), i, g)))).otherwise(F.array().cast("array<string>"))))
+    ends = F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda g: F.concat(F.lit("end "), F.right(F.col("word"), g)))
+    pieces = known.where("word <> ''").select(*group, "word", F.explode(F.array_distinct(F.concat(runs, ends))).alias("piece"))
+    one, two = F.get(words, 0), F.size(words) == 2
+    piece = F.when(two, F.concat(F.lit("end "), F.right(one, F.least(F.lit(3), F.length(one))))).otherwise(F.concat(F.lit("in "), F.substring(one, F.lit(1), F.lit(3))))
+    short = base.where(F.size(words) < 3).select(*group, F.col(text).alias("inner"), one.alias("one"), two.alias("two"), piece.alias("piece"))
+    fits = F.when(F.col("two"), F.col("word").endswith(F.col("one"))).otherwise(F.col("word").contains(F.col("one")))
     holds = F.col("outer").contains(F.col("inner")) & (F.col("outer") != F.col("inner"))
-    few = short.join(long, list(group)).where(holds) if group else short.join(long, holds)
-    return found.unionByName(few.select(*group, "inner", "outer")).distinct()
+    few = short.where("one <> ''").join(pieces, [*group, "piece"]).where(fits).select(*group, "inner", "word").join(each, [*group, "word"]).where(holds)
+    # White space alone has no word, and is found by its first sign.
+    blank = short.where("one = ''").select(*group, "inner", F.substring("inner", 1, 1).alias("sign"))
+    signs = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.col(text), F.lit(r"\s"), F.lit(0))))
+    rest = blank.join(base.select(*group, F.col(text).alias("outer"), F.explode(signs).alias("sign")), [*group, "sign"]).where(holds)
+    pairs = lambda t: t.select(*group, "inner", "outer")
+    return found.unionByName(pairs(few)).unionByName(pairs(rest)).distinct()
+
+
+def similar_labels(labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(a, b, distance) of the distinct labels(label) a < b whose edit distance is under ``threshold`` of the longer length.
+
+    With at most t edits between them, one of t + 1 pieces of the shorter label stands unchanged in the
+    longer one, at most t places off. Labels meet on such pieces, so no two labels are compared without one.
+    """
+    names = labels.select("label", F.length("label").alias("n")).where("n > 0").distinct()
+    edits = lambda n: F.ceil(F.lit(threshold) * n).cast("int") - 1
+    start = lambda i, n, t: F.floor(i * n / (t + 1)).cast("int")
+    longest = F.ceil(F.col("n") / F.lit(1 - threshold)).cast("int") + 1
+    kept = names.select("label", "n", F.explode(F.array_distinct(F.transform(F.sequence("n", longest), lambda m: F.when(m - F.col("n") <= edits(m), edits(m))))).alias("t")).where("t > 0")
+    kept = kept.select("label", "n", "t", F.explode(F.sequence(F.lit(0), F.col("t"))).alias("i"))
+    size = start(F.col("i") + 1, F.col("n"), F.col("t")) - start(F.col("i"), F.col("n"), F.col("t"))
+    kept = kept.select(F.col("label").alias("short"), "n", "t", "i", F.substring(F.col("label"), start(F.col("i"), F.col("n"), F.col("t")) + 1, size).alias("piece"))
+    asked = names.select("label", F.col("n").alias("m"), edits(F.col("n")).alias("t")).where("t > 0")
+    asked = asked.select("label", "m", "t", F.explode(F.sequence(F.col("m") - F.col("t"), F.col("m"))).alias("n")).where("n > 0")
+    asked = asked.select("label", "m", "t", "n", F.explode(F.sequence(F.lit(0), F.col("t"))).alias("i"))
+    at = start(F.col("i"), F.col("n"), F.col("t"))
+    spots = F.filter(F.sequence(at - F.col("t"), at + F.col("t")), lambda x: (x >= 0) & (x + size <= F.col("m")))
+    asked = asked.select("label", "t", "n", "i", F.explode(F.array_distinct(F.transform(spots, lambda x: F.substring(F.col("label"), x + 1, size)))).alias("piece"))
+    met = asked.join(kept, ["t", "n", "i", "piece"]).where("label <> short").select(F.least("label", "short").alias("a"), F.greatest("label", "short").alias("b")).distinct()
+    return met.where(labels_are_similar(F.col("a"), F.col("b"), threshold)).select("a", "b", syntactic_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
 def not_contained(texts: DataFrame, text: str = "text", group: Sequence[str] = ()) -> DataFrame:

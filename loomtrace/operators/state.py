@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the shared folder; kept in memory only where none is set."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.cache()
+    """``df`` with its lineage cut by a checkpoint in the shared folder that spark.checkpoint.dir names.
+
+    Only where that is unset and the master is local (tests, notebooks) a folder of this machine is used.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or f"file://{tempfile.mkdtemp(prefix='loomtrace-')}")
+    return df.checkpoint()

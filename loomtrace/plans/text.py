@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrace.functions import text as T
+from loomtrace.operators import planner
 from loomtrace.plans.catalogue import query, table, uid_sql
 
 # Frequent words of four languages.
@@ -88,11 +89,8 @@ def word_counts_merge(spark, sf):
     """,
 )
 def levenshtein_similar(spark, sf):
-    names = table(spark, sf, "part").select("p_name").distinct()
-    a, b = names.select(F.col("p_name").alias("a")), names.select(F.col("p_name").alias("b"))
-    # A distance under 0.3 of the longer length keeps lengths within that share of each other.
-    near = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) < 0.3 * F.greatest(F.length("a"), F.length("b")))
-    return a.join(b, near & T.labels_are_similar(F.col("a"), F.col("b"))).select("a", "b", F.round(T.syntactic_distance(F.col("a"), F.col("b")), 6).alias("distance"))
+    found = planner.similar_labels(table(spark, sf, "part").select(F.col("p_name").alias("label")))
+    return found.select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 @query(

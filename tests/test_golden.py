@@ -125,7 +125,7 @@ def test_digests_addresses_and_names(spark):
     assert s(T.uri_of(F.lit(" Größe Ærø “Łódź” "))) == 'grosse_aero_"lodz"'
     assert [s(T.is_url(F.lit(x))) for x in ("http://a", "./b", "../c", "//d", "mailto:e", "f/g", "")] == [True] * 5 + [False] * 2
     assert [s(T.is_html(F.lit(x))) for x in ("<p>", "a <p>", "<a title='>'>x")] == [True, False, True]
-    assert [s(T.explode_key(F.lit(x))) for x in ("a:b:cD", "X A B", "my:is_a", "")] == ["A:b:c D", "X A B", "Is a", ""]
+    assert [s(T.explode_key(F.lit(x))) for x in ("a:b:cD", "X A B", "my:is_a", "")] == ["A:b:cD", "X A B", "Is a", ""]
     assert [s(T.language_name(F.lit(x))) for x in ("zh-cn", "zh-tw", "??")] == ["Chinese (Simplified)", "Chinese (Traditional)", ""]
 
 
