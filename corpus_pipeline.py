@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept. All but the
 last return the columns of ``documents``; the last returns each remaining document's token count and
 the digests of its ids and of the text they decode to.
+
+Defined cases: rows without a text or a letter go in the first stage; rows that repeat are exact copies, all of whose rows are kept or
+go together, as they share key and text; rows without a key are near copies of nothing and stay; ties go to the smallest key; texts of any
+length are read whole; an empty table gives an empty result; further columns pass through all stages but the last.
 """
 
 from __future__ import annotations
