@@ -25,8 +25,10 @@ BROADCAST_ROWS = 1_000_000
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose language can't be told. The model learns from the labelled part of the input."""
-    found = langid.predict(docs, langid.train(docs), docs.columns)
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    # Numbered names can't clash with those of the prediction.
+    own = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
+    found = langid.predict(own, langid.train(docs), own.columns, text=f"_{docs.columns.index('text')}")
+    return found.where(~F.col("rejected")).select(*own.columns).toDF(*docs.columns)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
