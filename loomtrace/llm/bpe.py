@@ -10,7 +10,8 @@ Words repeat, so a worker keeps the ids of the chunks between white space that i
 store is bounded: it holds two generations and forgets the older one.
 
 Defined cases: a null text is empty; an empty text has no ids; strings of special tokens in a text
-become these tokens, as in the tokenizers library; rows that repeat give repeated rows.
+become these tokens, as in the tokenizers library; rows that repeat give repeated rows; texts of any length are encoded whole;
+an empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(free)) for b in range(256)]
 
 
-class SuffixAutomaton:
-    """States of vocabulary prefixes with suffix links; says which tokens end where a text has been read."""
+class VocabularyAutomaton:
+    """A trie of the vocabulary with suffix links: its states are prefixes of tokens, and say which tokens end where a text has been read."""
 
     def __init__(self, tokens: dict[str, int]):
         self.next: list[dict[str, int]] = [{}]
@@ -112,7 +113,7 @@ class Encoder:
         for token, i in vocab.items():
             closed = bool(self.end) and token.endswith(self.end) and len(token) > len(self.end)
             written[token[: -len(self.end)] + self.sign if closed else token] = i
-        self.automaton = SuffixAutomaton({t: i for t, i in written.items() if self._whole(i)})
+        self.automaton = VocabularyAutomaton({t: i for t, i in written.items() if self._whole(i)})
         self.pairs: dict[int, bool] = {}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern)

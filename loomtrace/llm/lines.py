@@ -6,7 +6,8 @@ one marks its three lines; overlapping marks merge, and marked lines go. As a re
 has an equal line further ahead, no line's content vanishes from the corpus.
 
 Defined cases: a null text stays null; texts under three lines, and windows of blank lines only,
-are left alone; rows equal in key and text count as one document listed twice; null keys come first.
+are left alone; rows equal in key and text count as one document listed twice; null keys come first; texts of any length are
+read whole; an empty table gives an empty one; other columns pass through, unless called _n_lines or _n_removed.
 """
 
 from __future__ import annotations
