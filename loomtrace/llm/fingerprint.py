@@ -8,7 +8,7 @@ Subtracting the cells of two texts leaves the sketch of what differs, and peelin
 differing hashes: a cell of count one or minus one whose check fits gives a hash, which then leaves
 its other cells. If cells remain, both sketches are built again, larger: the hashes are dealt by their highest
 bits to as many tables as their number asks for, so that time and memory grow in proportion to the
-pieces, and a table that fails is built again with twice the cells, and with four times. Should the largest size fail as well, its hashes themselves are compared.
+pieces, and a table that fails is built again with twice the cells, with four and with eight times. Should the largest size fail as well, its hashes themselves are compared.
 
 The likeness of two texts is the number of shared pieces over that of all pieces, the
 shared ones being known from both counts and the recovered difference. Only DataFrame functions run.
@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 
 from loomtrace.llm.common import row_partitions, written
 
-#: Cells in each of a table's three rows: as many as three, four or five bits can name. Larger ones are for tables that fail.
-ROWS, BITS = 3, (3, 4, 5)
+#: Cells in each of a table's three rows, as bits that name them. The first size is that of a text's own sketch.
+ROWS, BITS = 3, (3, 2, 4, 5)
+#: The sizes of the tables that pieces are dealt to, in the order in which they are tried. The work for a piece grows with the cells of its table, so the first is small.
+TABLES = (1, 0, 2, 3)
 #: The lowest bit of a hash that places it, for each size; what deals hashes to tables are its highest bits.
 _FROM = tuple(sum(ROWS * b for b in BITS[:n]) for n in range(len(BITS)))
 #: Keys that a table takes on average.
-LOAD = 12
+LOAD = 6
 #: Characters under which a text is cut into words, and above which a part without an end of line or sentence is.
 SHORT, LONG = 200, 300
 _KEYS = "array<struct<k:bigint,s:int>>"
@@ -133,7 +135,7 @@ def differing(a: Column, b: Column) -> Column:
     def one(g: Column) -> Column:
         # A key of both texts stands twice in the list.
         alone = F.filter(g, lambda e: ~F.array_contains(g, F.struct(e["k"].alias("k"), (-e["s"]).alias("s"))))
-        return F.coalesce(*(peel(cells(g, n), n) for n in range(len(BITS))), alone)
+        return F.coalesce(*(peel(cells(g, n), n) for n in TABLES), alone)
 
     return F.when(F.size(both) == 0, F.array().cast(_KEYS)).otherwise(F.flatten(F.transform(_dealt(both), one)))
 
@@ -183,13 +185,16 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     docs = docs.select(docs[key].alias("key"), F.hash(docs[text]).alias("check"), F.coalesce(docs[text], F.lit("")).alias("text"))
     after = next_rows(docs.select("key", "check", F.length("text").alias("n")))
+    # Structs are equal where both keys are null, and the same column deals the rows of the joins and of the distinct: texts move once, what is borrowed once.
+    docs = docs.select(F.struct("key", "check").alias("id"), "text")
+    after = after.select(F.struct("key", "check").alias("of"), F.struct(F.col("next_key").alias("key"), F.col("next_check").alias("check")).alias("next_id"), "half")
     # What a row needs of its successor: the beginning that it borrows, and the paragraph hashes.
-    ahead = docs.alias("d").join(after.alias("o"), F.col("d.key").eqNullSafe(F.col("o.next_key")) & (F.col("d.check") == F.col("o.next_check")))
-    ahead = ahead.select(F.col("o.key").alias("of"), F.col("o.check").alias("of_check"), "half", F.expr("left(text, half)").alias("borrowed"), paragraphs(F.col("text")).alias("next_keys"))
-    ahead = ahead.dropDuplicates(["of", "of_check"])
-    own = docs.join(ahead, docs["key"].eqNullSafe(ahead["of"]) & (docs["check"] == ahead["of_check"]))
+    ahead = docs.join(after, docs["id"] == after["next_id"])
+    ahead = ahead.select("of", "half", F.expr("left(text, half)").alias("borrowed"), paragraphs(F.col("text")).alias("next_keys"))
+    ahead = ahead.dropDuplicates(["of"])
+    own = docs.join(ahead, docs["id"] == ahead["of"])
     n = F.length("text")
-    own = own.select("key", n.cast("long").alias("n_chars"), F.col("text"), F.concat(F.expr("left(text, length(text) - half)"), F.col("borrowed")).alias("edited"), "next_keys")
+    own = own.select(F.col("id")["key"].alias("key"), n.cast("long").alias("n_chars"), F.col("text"), F.concat(F.expr("left(text, length(text) - half)"), F.col("borrowed")).alias("edited"), "next_keys")
     own = own.select("key", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("a"), paragraphs(F.col("edited")).alias("e"), F.col("next_keys").alias("x"))
     own = own.select("*", *(cells(_signed(F.col(c), 1)).alias(f"c{c}") for c in "aex"))
     return own.select(
