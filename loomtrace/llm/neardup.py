@@ -255,13 +255,17 @@ def _second_places(groups: DataFrame, found: DataFrame, s: Settings) -> DataFram
     return large.groupBy("key", "check").agg(F.flatten(F.collect_list(places)).alias("places"))
 
 
+def _placed(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """Each text that has places, once."""
+    return docs.join(places, ["key", "check"]).dropDuplicates(["key", "check"])
+
+
 def _compared(docs: DataFrame, places: DataFrame, s: Settings) -> tuple[DataFrame, str]:
     """The links (a, b) among the texts that meet in one of their places, as a written table, and its path.
 
     The text itself travels: compressed, it is half the size of its shingles' hashes.
     """
-    texts = docs.join(places, ["key", "check"]).dropDuplicates(["key", "check"])
-    dealt = texts.select(F.explode("places").alias("p"), "key", F.col("text").cast("binary").alias("body")).select("p.bucket", "p.one", "p.two", "key", "body")
+    dealt = _placed(docs, places).select(F.explode("places").alias("p"), "key", F.col("text").cast("binary").alias("body")).select("p.bucket", "p.one", "p.two", "key", "body")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["bucket", "one", "two"]
     return written(dealt.repartition(4 * n, *order).sortWithinPartitions(*order).mapInArrow(_verify(s), "a long, b long").distinct(), "links")
@@ -290,7 +294,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
     groups = banded.join(buckets.select("bucket", "m", blocks.alias("blocks")), "bucket")
     groups = groups.groupBy("key", "check", "n_shingles").agg(F.collect_list(F.struct("bucket", "m", "blocks")).alias("groups"))
     groups, groups_path = written(groups, "groups")
-    edges, edges_path = _compared(docs, groups.select("key", "check", _first_places().alias("places")), s)
+    # The first places are as many as the candidates and outgrow any broadcast, so they are joined by a merge at every size, and disk follows the input.
+    first = groups.select("key", "check", _first_places().alias("places")).hint("merge")
+    edges, edges_path = _compared(docs, first, s)
     found, found_path = components(edges)
     places, places_path = written(_second_places(groups, found, s), "places")
     if not places.isEmpty():

@@ -122,3 +122,20 @@ def test_a_large_group_sends_each_text_a_few_times(spark):
         neardup._compared = real
     assert got == brute(rows, 3, 85)
     assert sum(sent) < 45 * len(rows)
+
+
+def test_first_texts_move_alike_at_every_size(spark, monkeypatch):
+    rows = corpus(9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plans, real = [], neardup._placed
+
+    def seen(docs, places):
+        found = real(docs, places)
+        plans.append(found._jdf.queryExecution().sparkPlan().toString())
+        return found
+
+    monkeypatch.setattr(neardup, "_placed", seen)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in neardup.near_duplicates(docs).collect())
+    assert got == brute(rows, 3, 85)
+    # A few rows, and still no broadcast: their disk says what that of more rows will be.
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
