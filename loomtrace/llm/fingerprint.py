@@ -34,14 +34,16 @@ ROWS, BITS = 3, (3, 4, 5)
 _FROM = tuple(sum(ROWS * b for b in BITS[:n]) for n in range(len(BITS)))
 #: Keys that a table takes on average.
 LOAD = 12
+#: Rounds of peeling after which a table is looked at again.
+FEW = 4
 #: Characters under which a text is cut into words, and above which a part without an end of line or sentence is.
 SHORT, LONG = 200, 300
 _KEYS = "array<struct<k:bigint,s:int>>"
 
 
 def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """``fn(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), lambda x: fn(x)), 0)
+    """``fn(value)`` with the value computed once. Unlike a transform of one element, this copies neither the value nor the result."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, lambda x: fn(x))
 
 
 def paragraphs(text: Column) -> Column:
@@ -51,62 +53,82 @@ def paragraphs(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.array_distinct(F.transform(pieces, lambda x: F.xxhash64(x)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _placed(keys: Column, size: int) -> Column:
-    """Signed keys with their check values and their slots in each row, each computed once."""
+def _places(size: int) -> Column:
+    """The cells of a table: a key lies in those with ``k & m = v``, one in each row."""
+    bits = [(_FROM[size] + r * BITS[size], j) for r in range(ROWS) for j in range(1 << BITS[size])]
+    return F.array(*(F.struct(F.lit(((1 << BITS[size]) - 1) << low).cast("bigint").alias("m"), F.lit(j << low).cast("bigint").alias("v")) for low, j in bits))
 
-    def one(e: Column) -> Column:
-        slots = [F.shiftrightunsigned(e["k"], _FROM[size] + r * BITS[size]).bitwiseAND((1 << BITS[size]) - 1).cast("int").alias(f"r{r}") for r in range(ROWS)]
-        return F.struct(e["k"].alias("k"), e["s"].alias("s"), F.xxhash64(e["k"]).alias("h"), *slots)
 
-    return F.transform(keys, one)
+def _inside(keys: Column, place: Column) -> Column:
+    return F.filter(keys, lambda e: e["k"].bitwiseAND(place["m"]) == place["v"])
 
 
 def _cell(n: Column, k: Column, h: Column) -> Column:
     return F.struct(n.cast("int").alias("n"), k.alias("k"), h.alias("h"))
 
 
-def _fold(start: Column, keys: Column, sign: int = 1) -> Column:
-    """A cell after placed keys have entered it, or left it with sign -1."""
-    return F.aggregate(keys, start, lambda a, e: _cell(a["n"] + e["s"] * sign, a["k"].bitwiseXOR(e["k"]), a["h"].bitwiseXOR(e["h"])))
+def _zero() -> Column:
+    return _cell(F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def cells(keys: Column, size: int = 0) -> Column:
-    """The table of signed keys."""
-    zero = _cell(F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
+    """The table of distinct keys."""
 
-    def row(placed: Column, r: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit((1 << BITS[size]) - 1)), lambda j: _fold(zero, F.filter(placed, lambda e: e[f"r{r}"] == j)))
+    def cell(inside: Column) -> Column:
+        k = F.aggregate(inside, F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(k))
+        h = F.aggregate(inside, F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(F.xxhash64(k)))
+        return F.when(F.size(inside) == 0, _zero()).otherwise(_cell(F.size(inside), k, h))
 
-    return _let(_placed(keys, size), lambda placed: F.concat(*(row(placed, r) for r in range(ROWS))))
+    return F.transform(_places(size), lambda p: _let(F.filter(keys, lambda k: k.bitwiseAND(p["m"]) == p["v"]), cell))
+
+
+def _sparse(m: Column, v: Column, n: Column, k: Column, h: Column) -> Column:
+    return F.struct(m.alias("m"), v.alias("v"), n.cast("int").alias("n"), k.alias("k"), h.alias("h"))
+
+
+def _live(c: Column) -> Column:
+    return (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0)
+
+
+def _differences(keys: Column, size: int) -> Column:
+    """The cells that aren't empty in the table of signed keys, with their places."""
+    add = lambda a, e: _sparse(a["m"], a["v"], a["n"] + e["s"], a["k"].bitwiseXOR(e["k"]), a["h"].bitwiseXOR(F.xxhash64(e["k"])))
+    zero = F.lit(0).cast("bigint")
+    return F.filter(F.transform(_places(size), lambda p: F.aggregate(_inside(keys, p), _sparse(p["m"], p["v"], F.lit(0), zero, zero), add)), _live)
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"])))
+    """The cells in which two tables of the first size differ, with their places."""
+    differ = F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"])))
+    return F.filter(F.zip_with(differ, _places(0), lambda c, p: _sparse(p["m"], p["v"], c["n"], c["k"], c["h"])), _live)
 
 
 def peel(table: Column, size: int = 0) -> Column:
     """The keys that a table of differences holds, with their signs; null if cells remain."""
-    width = 1 << BITS[size]
 
-    def leave(state: Column, pure: Column) -> Column:
-        def row(r: int) -> Column:
-            part = F.slice(state["cells"], r * width + 1, width)
-            # Cells that no key leaves stay as they are.
-            return F.transform(part, lambda c, j: _let(F.filter(pure, lambda e: e[f"r{r}"] == j), lambda gone: F.when(F.size(gone) == 0, c).otherwise(_fold(c, gone, -1))))
+    def leave(c: Column, e: Column) -> Column:
+        return _sparse(c["m"], c["v"], c["n"] - e["n"], c["k"].bitwiseXOR(e["k"]), c["h"].bitwiseXOR(e["h"]))
 
-        after = F.concat(*(row(r) for r in range(ROWS)))
-        found = F.concat(state["found"], F.transform(pure, lambda e: F.struct(e["k"].alias("k"), e["s"].alias("s"))))
-        return F.struct(after.alias("cells"), found.alias("found"), F.lit(True).alias("going"))
+    def after(state: Column, pure: Column) -> Column:
+        # Cells that are empty leave the list, so that a round takes time for those only that are left.
+        left = F.filter(F.transform(state["cells"], lambda c: F.aggregate(_inside(pure, c), c, leave)), _live)
+        found = F.concat(state["found"], F.transform(pure, lambda e: F.struct(e["k"].alias("k"), e["n"].alias("s"))))
+        return F.struct(left.alias("cells"), found.alias("found"), (F.size(pure) > 0).alias("going"))
 
     def step(state: Column) -> Column:
         single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["h"] == F.xxhash64(c["k"])))
-        pure = F.array_distinct(F.transform(single, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("s"))))
-        return _let(_placed(pure, size), lambda p: F.when(F.size(p) > 0, leave(state, p)).otherwise(F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("going"))))
+        # A key may be alone in several rows.
+        once = lambda x: F.filter(x, lambda c, i: ~F.exists(F.slice(x, 1, i), lambda d: d["k"] == c["k"]))
+        return _let(_let(single, once), lambda pure: after(state, pure))
+
+    def rounds(state: Column, n: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(n)), state, lambda s, _: F.when(s["going"] & (F.size(s["cells"]) > 0), step(s)).otherwise(s))
 
     start = F.struct(table.alias("cells"), F.array().cast(_KEYS).alias("found"), F.lit(True).alias("going"))
-    # Every round but the last takes out a key, and a table holds fewer keys than cells if it can be peeled.
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROWS * width + 1)), start, lambda s, _: F.when(s["going"], step(s)).otherwise(s))
-    return _let(end, lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0)), s["found"]))
+    # Every round but the last takes out a key, and a table holds fewer keys than cells if it can be peeled. A round copies
+    # the state, and most tables need few.
+    end = _let(rounds(start, FEW), lambda s: F.when(s["going"] & (F.size(s["cells"]) > 0), rounds(s, (ROWS << BITS[size]) + 1 - FEW)).otherwise(s))
+    return _let(end, lambda s: F.when(F.size(s["cells"]) == 0, s["found"]))
 
 
 def _signed(keys: Column, sign: int) -> Column:
@@ -133,7 +155,7 @@ def differing(a: Column, b: Column) -> Column:
     def one(g: Column) -> Column:
         # A key of both texts stands twice in the list.
         alone = F.filter(g, lambda e: ~F.array_contains(g, F.struct(e["k"].alias("k"), (-e["s"]).alias("s"))))
-        return F.coalesce(*(peel(cells(g, n), n) for n in range(len(BITS))), alone)
+        return F.coalesce(*(peel(_differences(g, n), n) for n in range(len(BITS))), alone)
 
     return F.when(F.size(both) == 0, F.array().cast(_KEYS)).otherwise(F.flatten(F.transform(_dealt(both), one)))
 
@@ -151,7 +173,7 @@ def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
 
 def written_out(table: Column) -> Column:
     """A sketch as text: count, hash and check of each cell."""
-    return F.array_join(F.transform(table, lambda c: F.concat(c["n"].cast("string"), F.lit(":"), F.lower(F.hex(c["k"])), F.lit(":"), F.lower(F.hex(c["h"])))), ",")
+    return F.lower(F.array_join(F.transform(table, lambda c: F.concat(c["n"].cast("string"), F.lit(":"), F.hex(c["k"]), F.lit(":"), F.hex(c["h"]))), ","))
 
 
 def next_rows(rows: DataFrame) -> DataFrame:
@@ -194,7 +216,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     n = F.length("text")
     own = own.select(F.col("id")["key"].alias("key"), n.cast("long").alias("n_chars"), F.col("text"), F.concat(F.expr("left(text, length(text) - half)"), F.col("borrowed")).alias("edited"), "next_keys")
     own = own.select("key", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("a"), paragraphs(F.col("edited")).alias("e"), F.col("next_keys").alias("x"))
-    own = own.select("*", *(cells(_signed(F.col(c), 1)).alias(f"c{c}") for c in "aex"))
+    own = own.select("*", *(cells(F.col(c)).alias(f"c{c}") for c in "aex"))
     return own.select(
         F.col("key").alias(key),
         "n_chars",
