@@ -6,8 +6,9 @@ is a reachable prefix, and which may follow the last token of that prefix. Suffi
 automaton over the vocabulary give all tokens ending at a position; a pair test that undoes merges
 decides whether two tokens may stand side by side; back-pointers give the ids.
 
-Words repeat, so a worker keeps the ids of the chunks between white space that it has met. The
-store is bounded: it holds two generations and forgets the older one.
+Words repeat, so a worker keeps the ids of the words and of the chunks between white space that it has met, in one
+store. It is bounded: it holds two generations and forgets the older one. Spark uses a worker again for other tasks, so
+what the store holds counts in their memory, too.
 
 Defined cases: a null text is empty; an empty text has no ids; strings of special tokens in a text
 become these tokens, as in the tokenizers library; rows that repeat give repeated rows; texts of any length are encoded whole;
@@ -27,8 +28,9 @@ from pyspark.sql import DataFrame
 
 from loomtrace.llm.common import slices, small_batches
 
-#: Chunks that one generation of a worker's store holds.
-STORE = 300_000
+#: Chunks and words that one generation of a worker's store holds together, and what other stores hold.
+STORE = 200_000
+STEPS = 500_000
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
@@ -80,6 +82,8 @@ class VocabularyAutomaton:
             at = state
             while at and letter not in self.next[at]:
                 at = self.link[at]
+            if len(self.moves) >= STEPS:
+                self.moves.clear()
             to = self.moves[state, letter] = self.next[at].get(letter, 0)
         return to
 
@@ -119,7 +123,6 @@ class Encoder:
         self.words = regex.compile(pattern)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known: tuple[dict, dict] = ({}, {})
-        self.word_ids: tuple[dict, dict] = ({}, {})
 
     def _whole(self, i: int) -> bool:
         """Whether merging a token's own letters gives the token; others are never produced."""
@@ -164,7 +167,7 @@ class Encoder:
                     pair = before << 32 | token
                     good = pairs.get(pair)
                     if good is None:
-                        if len(pairs) > 500_000:
+                        if len(pairs) >= STEPS:
                             pairs.clear()
                         good = pairs[pair] = self.fits(before, token)
                     if not good:
@@ -180,19 +183,24 @@ class Encoder:
             at -= size[at]
         return out[::-1]
 
+    def _keep(self, name: str, found: tuple[str, int, str]) -> None:
+        if len(name) <= 64:
+            if len(self.known[0]) >= STORE:
+                self.known = {}, self.known[0]
+            self.known[0][name] = found
+
     def _word(self, word: str) -> tuple[str, int, str]:
         """The ids as decimals joined by spaces, how many they are, and the tokens joined by spaces."""
-        young, old = self.word_ids
-        found = young.get(word)
+        # ASCII letters in lower case are the same word as a chunk; any other word goes by a name that no chunk has.
+        name = word if word.isascii() and word.isalpha() else " " + word
+        young, old = self.known
+        found = young.get(name)
         if found is None:
-            found = old.get(word)
+            found = old.get(name)
             if found is None:
                 ids = self.encode_word(word)
                 found = " ".join(map(str, ids)), len(ids), " ".join([self.names[i] for i in ids])
-            if len(word) <= 64:
-                if len(young) >= STORE:
-                    self.word_ids = young, old = {}, young
-                young[word] = found
+            self._keep(name, found)
         return found
 
     def _chunk(self, chunk: str) -> tuple[str, int, str]:
@@ -213,10 +221,7 @@ class Encoder:
                 else:
                     parts = [self._word(w) for w in words]
                     found = " ".join([x[0] for x in parts]), sum([x[1] for x in parts]), " ".join([x[2] for x in parts])
-            if len(chunk) <= 64:
-                if len(young) >= STORE:
-                    self.known = young, old = {}, young
-                young[chunk] = found
+            self._keep(chunk, found)
         return found
 
     def pieces(self, text: str) -> list[tuple[str, int, str]]:

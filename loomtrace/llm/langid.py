@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.llm.common import share_below, small_batches, text_bytes
@@ -112,7 +112,7 @@ def sample(docs: DataFrame, s: Settings, key: str, text: str, lang: str) -> pd.D
     if not sizes:
         return pd.DataFrame({"lang": [], "text": []})
     bounds = drawn_below({r["lang"]: r["count"] for r in sizes}, s)
-    bounds = docs.sparkSession.createDataFrame(list(bounds.items()), "_lang string, _below long")
+    bounds = _bounds_table(docs.sparkSession, bounds)
     labelled = labelled.select(F.col(key).cast("string").alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     # A row for each language.
     drawn = labelled.join(F.broadcast(bounds), F.col("lang") == F.col("_lang")).where(F.xxhash64(F.col("key"), F.lit("language")) <= F.col("_below"))
@@ -121,6 +121,12 @@ def sample(docs: DataFrame, s: Settings, key: str, text: str, lang: str) -> pd.D
     return drawn.toPandas().sort_values(["key", "lang", "text"], ignore_index=True)
 
 
+def _bounds_table(spark: SparkSession, bounds: dict[str, int]) -> DataFrame:
+    """(_lang, _below) as a local table: one made of Python rows would start more Python workers in the executors, which stay there."""
+    columns = [pa.array([str(x) for x in bounds], pa.string()), pa.array(list(bounds.values()), pa.int64())]
+    return spark.createDataFrame(pa.table(columns, names=["_lang", "_below"]))
+
+
 def drawn_below(sizes: dict[str, int], s: Settings) -> dict[str, int]:
     """For each language the largest hash of a key that is drawn."""
     each = min(s.per_language, max(1, s.rows // max(1, len(sizes))))

@@ -40,3 +40,15 @@ def test_query_shape_nulls_and_repeats(spark, library):
     assert bpe.encode_digests(docs.limit(0), PATH).count() == 0
     texts = {r.doc_id: r for r in bpe.encode_texts(docs, PATH).collect()}
     assert list(texts[1].ids) == library.encode(rows[0][1], add_special_tokens=False).ids
+
+
+def test_a_worker_keeps_few_words(monkeypatch, library):
+    monkeypatch.setattr(bpe, "STORE", 40)
+    monkeypatch.setattr(bpe, "STEPS", 30, raising=False)
+    enc = bpe.Encoder(PATH)
+    words = [f"{a}{b}{c}" for a in "bdfgKé" for b in "aeiou" for c in "lmnrß"]
+    text = " ".join(f"{w} {w}, ({w})' {w}12" for w in words * 2)
+    assert enc.encode(text) == library.encode(text, add_special_tokens=False).ids
+    stores = [store for pair in vars(enc).values() if isinstance(pair, tuple) for store in pair]
+    assert 0 < sum(map(len, stores)) <= 2 * bpe.STORE
+    assert len(enc.pairs) <= 30 and len(enc.automaton.moves) <= 30

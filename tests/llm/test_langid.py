@@ -69,3 +69,10 @@ def test_more_languages_than_any_list_holds(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.train(docs)
     assert len(model.languages) == 300
+
+
+def test_bounds_start_no_python_workers(spark):
+    found = langid._bounds_table(spark, {"en": 5, "é": -(2**63)})
+    assert sorted(map(tuple, found.collect())) == [("en", 5), ("é", -(2**63))]
+    plan = found._jdf.queryExecution().toString()
+    assert "RDD" not in plan and "LocalTableScan" in plan
