@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.functions.text import answer_block, count_tokens, labels_are_similar, syntactic_distance
+from loomtrace.operators.containment import longest
 from loomtrace.operators.state import cut
 from loomtrace.operators.ordered import budget_prefix, first_seen, top_per_group
 from loomtrace.operators.vectors import top_k
@@ -74,14 +75,14 @@ def similar_labels(labels: DataFrame, threshold: float = 0.3) -> DataFrame:
 
 def not_contained(texts: DataFrame, text: str = "text", group: Sequence[str] = ()) -> DataFrame:
     """Rows whose text no other text of the group holds."""
-    gone = containers(texts, text, group).select(*group, F.col("inner").alias(text)).distinct()
-    return texts.join(gone, [*group, text], "left_anti")
+    rows, held = longest(texts, text, group)
+    return rows.join(held.hint("merge"), "_id", "left_anti").drop("_id")
 
 
 def longest_container(texts: DataFrame, text: str = "text", group: Sequence[str] = ()) -> DataFrame:
     """(group, text, best): the longest text of the group that holds each text, else itself."""
-    best = containers(texts, text, group).groupBy(*group, "inner").agg(F.min_by("outer", F.struct(-F.length("outer"), "outer")).alias("best"))
-    return texts.select(*group, text).distinct().join(best.withColumnRenamed("inner", text), [*group, text], "left").withColumn("best", F.coalesce("best", F.col(text)))
+    rows, held = longest(texts.select(*group, text).distinct(), text, group)
+    return rows.join(held.hint("merge"), "_id", "left").select(*group, text, F.coalesce("best", F.col(text)).alias("best"))
 
 
 def merge_contained(answers: DataFrame) -> DataFrame:
