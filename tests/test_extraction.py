@@ -34,3 +34,47 @@ def test_near_cores_are_all_pairs_that_hold():
         cores = [t for t in s if L.is_core(s, t)]
         found = [L.triplet(s, a, b, cores) for k, a in enumerate(cores) for b in cores[k + 1 :]]
         assert L.sentence_triplets(s) == [t for t in found if t]
+
+
+def test_names_are_worked_out_once_for_each_triplet(spark, tmp_path):
+    # Before, each of some 16 edges worked out the digests of its ends anew.
+    sf = tables(spark, tmp_path, [(1, "The parser creates a tree. The tree holds a leaf. The reader makes texts.\nThe tool adds a row.", "en")])
+    plan = QUERIES["sourced_graph"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(line for line in plan.splitlines() if "Generate inline" in line and "_span" in line)
+    assert "md5" not in generate
+    edges = QUERIES["sourced_graph"](spark, sf)
+    sentences = {r.o for r in edges.where("p = 'my:sentLabel'").collect()}
+    assert sentences == {"The parser creates a tree.", "The tree holds a leaf.", "The reader makes texts.", "The tool adds a row."}
+    assert edges.where("p = 'my:paraID'").count() == 4 and edges.where("p = 'my:content'").count() == 2
+    assert edges.where("p = 'my:docID'").count() == 2
+
+
+def test_paragraphs_leave_python_once(spark, monkeypatch):
+    text = "The parser creates a tree. " * 40
+    rows = spark.createDataFrame([("d", 0, text, "en"), ("e", 1, "Nothing", None), ("f", 2, None, "en")], "doc string, para_idx int, text string, language string")
+    whole = sorted(tuple(r) for r in L.extract_triplets(rows).drop("part").collect())
+    assert len(whole) == 40 and {r[2] for r in whole} == {text}
+    assert [r.part for r in L.extract_triplets(rows).collect()] == [0] + [1] * 39
+    assert "Generate inline(found" in L.extract_triplets(rows)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(L, "RESULT_CHARS", 500)
+    assert sorted(tuple(r) for r in L.extract_triplets(rows).drop("part").collect()) == whole
+
+
+def test_digest_without_loops(spark):
+    from pyspark.sql import functions as F
+
+    from loomtrace.functions.text import uid
+
+    # Before, long divisions in nested loops: 98 us a row.
+    rows = spark.range(300).select(F.concat(F.lit("x"), "id").alias("x"))
+    out = rows.select("x", uid(F.col("x")).alias("u"))
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for r in out.collect():
+        import hashlib
+
+        n, text = int(hashlib.md5(r.x.encode()).hexdigest(), 16), ""
+        while n:
+            n, d = divmod(n, 36)
+            text = digits[d] + text
+        assert r.u == text
