@@ -67,3 +67,15 @@ def test_memo_and_streams(spark, tmp_path):
 def test_providers(spark):
     row = spark.createDataFrame([("The cat was on the mat and it is good",)], "t string").select(DEFAULT.language(F.col("t")).alias("l"), DEFAULT.tagger(F.col("t")).alias("v"), F.size(DEFAULT.embedding(F.col("t"))).alias("n"), DEFAULT.generation(F.lit("x Contents: yes")).alias("g")).first()
     assert (row.l, row.v, row.n, row.g) == ("en", True, 64, "yes")
+
+
+def test_long_documents_leave_in_parts(spark, monkeypatch):
+    from loomtrace.sources import readers
+
+    docs = spark.createDataFrame([(str(i), f"<h1>Head</h1><p>first {i}</p><p>second {i}</p><p>first {i}</p>".encode()) for i in range(40)], "doc_id string, content binary").coalesce(1)
+    whole = sorted(tuple(r) for r in readers.html_text(docs).collect())
+    assert len(whole) == 80
+    # Before, 10,000 documents were taken at once, whatever their length.
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+    monkeypatch.setattr(readers, "RESULT_CHARS", 300)
+    assert sorted(tuple(r) for r in readers.html_text(docs).collect()) == whole
