@@ -78,3 +78,13 @@ def test_digest_without_loops(spark):
             n, d = divmod(n, 36)
             text = digits[d] + text
         assert r.u == text
+
+
+def test_only_asked_columns_leave_python(spark, tmp_path):
+    # Before, sentences, paragraphs, lemmas and texts of predicates left Python for each triplet, and were dropped then.
+    sf = tables(spark, tmp_path, [(1, "The parser creates a tree. The tree holds a leaf.\nThe tool adds a row.", "en")])
+    plan = QUERIES["extract_triplets"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sentence" not in plan and "pred_text" not in plan
+    rows = L.paragraphs(spark.read.parquet(f"{sf}/documents.parquet"))
+    for columns in (["obj", "doc"], ["part", "sentence", "paragraph", "verb"]):
+        assert sorted(map(tuple, L.extract_triplets(rows, columns=columns).collect())) == sorted(map(tuple, L.extract_triplets(rows).select(*columns).collect()))
