@@ -88,3 +88,16 @@ def test_only_asked_columns_leave_python(spark, tmp_path):
     rows = L.paragraphs(spark.read.parquet(f"{sf}/documents.parquet"))
     for columns in (["obj", "doc"], ["part", "sentence", "paragraph", "verb"]):
         assert sorted(map(tuple, L.extract_triplets(rows, columns=columns).collect())) == sorted(map(tuple, L.extract_triplets(rows).select(*columns).collect()))
+
+
+def test_words_are_counted_without_their_sentences(spark, tmp_path, monkeypatch):
+    # Before, a sentence's text was moved once for each concept.
+    said = "The owner of the small house makes a map and a plan. The house holds the owner. "
+    rows = [(1, said + said, "en"), (2, said + "\n\nThe house holds the  owner.", "fr"), (3, None, "en"), (4, "It is ½ made", None)]
+    sf = tables(spark, tmp_path, rows)
+    assert "sentence" not in QUERIES["word_dictionary"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    lines = L.paragraphs(spark.read.parquet(f"{sf}/documents.parquet"))
+    for size, pronouns in ((20_000, False), (3, True)):
+        monkeypatch.setattr(L, "RESULT_ROWS", size)
+        want = sorted(map(tuple, L.word_dictionary(L.extract_concepts(lines, pronouns=pronouns)).collect()))
+        assert sorted(map(tuple, L.count_words(lines, pronouns=pronouns).collect())) == want and len(want) > 5
