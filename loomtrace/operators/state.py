@@ -19,11 +19,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to and read from that folder in columns, which takes less room than a checkpoint."""
-    path = f"{_shared(df)}/stored-{uuid.uuid4().hex}"
+    path = fresh(df)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame) -> str:
+    """A name in that folder that nothing has yet."""
+    return f"{_shared(df)}/stored-{uuid.uuid4().hex}"
+
+
 def _shared(df: DataFrame) -> str:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():

@@ -82,7 +82,7 @@ def conformity_rank(spark, sf):
 @query("greedy_dedup_labels")  # its SQL takes too long on the whole table; tests compare it with a plain scan
 def greedy_dedup_labels(spark, sf):
     items = _items(spark, sf).select("id", "v")
-    return vectors.greedy_distinct(items, 0.3, pairs=vectors.pairs_above(items, 0.3, digits=6)).select("id")
+    return vectors.greedy_distinct(items, 0.3, digits=6).select("id")
 
 
 @query("lsh_similar")

@@ -91,3 +91,22 @@ def test_betweenness_same_as_counting_shortest_paths(spark):
     top = next(n for n in nodes if raw[n] > 0)
     scale = got[top] / raw[top]
     assert all(abs(got[n] - raw[n] * scale) < 1e-9 for n in nodes)
+
+
+def test_greedy_removal_makes_no_pairs(spark, monkeypatch):
+    # Before, all near pairs became rows, and were joined anew in each round.
+    rng = np.random.default_rng(3)
+    rows = [(f"k{i}", int(rng.integers(0, 9)), [float(x) for x in v]) for i, v in enumerate(rng.integers(-3, 4, (300, 5)))] + [(f"z{i}", 4, [0.0] * 5) for i in range(3)]
+    rows += [(f"c{i}", 3, [1.0, 2.0, 3.0, 1.0, 0.0]) for i in range(40)]
+    items = spark.createDataFrame(rows, "id string, n int, v array<double>")
+    monkeypatch.setattr(vectors, "pairs_above", None)
+    for order in (("id",), ("n", "id"), ("n",)):
+        kept = []
+        for r in sorted(rows, key=lambda r: (r[1], r[0]) if "n" in order else r[0]):
+            cos = lambda a, b: round(float(np.dot(a, b) / ((np.linalg.norm(a) * np.linalg.norm(b)) or 1)), 6)
+            if all(cos(r[2], k[2]) < 0.6 for k in kept):
+                kept.append(r)
+        for block in (60, 4096):
+            monkeypatch.setattr(vectors, "BLOCK", block)
+            assert sorted(r.id for r in vectors.greedy_distinct(items, 0.6, order, digits=6).collect()) == sorted(k[0] for k in kept)
+    assert vectors.greedy_distinct(items.limit(0), 0.6).count() == 0
