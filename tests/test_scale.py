@@ -110,3 +110,23 @@ def test_greedy_removal_makes_no_pairs(spark, monkeypatch):
             monkeypatch.setattr(vectors, "BLOCK", block)
             assert sorted(r.id for r in vectors.greedy_distinct(items, 0.6, order, digits=6).collect()) == sorted(k[0] for k in kept)
     assert vectors.greedy_distinct(items.limit(0), 0.6).count() == 0
+
+
+def test_provenance_in_parts(spark, monkeypatch):
+    from loomtrace.functions import vocabulary as V
+    from loomtrace.operators import triples
+
+    rng = random.Random(6)
+    steps = [(V.SPAN, "n", "s"), (V.SENTENCE, "s", "t"), (V.PARAGRAPH, "t", "p"), (V.CONTENT, "p", "c")]
+    rows = [(f"{a}{rng.randint(0, 5)}", p, f"{b}{rng.randint(0, 5)}") for p, a, b in steps for _ in range(14)] + [("n1", "other", "s1")]
+    edges, nodes = spark.createDataFrame(rows, "s string, p string, o string"), spark.createDataFrame([(f"n{i % 4}",) for i in range(8)], "node string")
+    want = {(f"n{i}",) for i in range(4)}
+    for p, _, _ in steps:
+        want = {(*w, o) for w in want for s, q, o in rows if q == p and s == w[-1]}
+    monkeypatch.setattr(triples, "PART_ROWS", 3)
+    got = triples.provenance(edges, nodes)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
+    # Before, all five columns were hashed at the end, in as many parts as any other table has.
+    text = plan(got)
+    assert "REPARTITION_BY_NUM" in text
+    assert all("content" not in line for line in text.splitlines() if "HashAggregate" in line and "span" in line)
