@@ -46,8 +46,9 @@ def token_windows(tokens: Column, size: int = 150, overlap: int = 75) -> Column:
     step = size - overlap
     if step <= 0:
         raise ValueError("the overlap must be smaller than the size")
-    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(step)))
-    return F.transform(starts, lambda i: F.slice(tokens, i + 1, size))
+    starts = lambda t: F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1, F.lit(step)))
+    # Named by a transform of one element: an expression within the inner one, as a split, would be worked out for each slice.
+    return F.transform(F.array(tokens), lambda t: F.transform(starts(t), lambda i: F.slice(t, i + 1, size)))[0]
 
 
 def page_range(first: Column, last: Column) -> Column:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.functions.text import answer_block, count_tokens, labels_are_similar, syntactic_distance
+from loomtrace.operators import vectors
 from loomtrace.operators.containment import longest
 from loomtrace.operators.state import cut
 from loomtrace.operators.ordered import budget_prefix, first_seen, top_per_group
-from loomtrace.operators.vectors import top_k
+from loomtrace.operators.vectors import top_k, top_k_texts
 
 
 def containers(texts: DataFrame, text: str = "text", group: Sequence[str] = ()) -> DataFrame:
@@ -116,33 +117,38 @@ def prompt_contents(answers: DataFrame, budget: int, prompt_tokens: Column | int
     return kept.groupBy(*group).agg(F.array_join(parts, "\n\n").alias("contents"), F.max("used").alias("used"))
 
 
-def ask(questions: DataFrame, chunks: DataFrame, threshold: float = 0.0, horizon: int = 10, fetch: int = 50) -> DataFrame:
+def ask(questions: DataFrame, chunks: DataFrame, threshold: float = 0.0, horizon: int = 10, fetch: int = 50, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """(question, rank, sentence, page_id, confidence): the best chunks of distinct text for each question.
 
-    questions(query_id, question, q), chunks(doc_id, text, page_id, v). Equal texts have equal
-    vectors and count once: texts are made distinct before they are searched.
+    questions(query_id, question, q), chunks(doc_id, text, page_id, v). Equal texts count once, with the vector of the
+    first: they are made distinct before they are searched. Where ``embed`` makes the vectors, chunks need no v and equal texts have
+    equal ones, so up to ``BLOCK`` questions are asked without moving the texts.
     """
+    if embed is not None and questions.count() <= vectors.BLOCK:
+        hits = top_k_texts(questions.select("query_id", "q"), chunks.select("doc_id", "text", "page_id").withColumn("v", embed(F.col("text"))), horizon, threshold, digits=6)
+        return hits.join(questions.select("query_id", "question"), "query_id").select("question", "rank", F.col("text").alias("sentence"), "page_id", F.col("similarity").alias("confidence"))
     distinct = first_seen(chunks, ["text"], [F.col("doc_id")])
+    if embed is not None:
+        distinct = distinct.withColumn("v", embed(F.col("text")))
     hits = top_k(questions.select("query_id", "q"), distinct.select("doc_id", "v"), horizon, threshold, digits=6)
     return hits.join(questions.select("query_id", "question"), "query_id").join(distinct.select("doc_id", "text", "page_id"), "doc_id").select(
         "question", "rank", F.col("text").alias("sentence"), "page_id", F.col("similarity").alias("confidence")
     )
 
 
-def macroplan(questions: DataFrame, extra: DataFrame, chunks: DataFrame, n: int, threshold: float = 0.55, horizon: int = 10) -> DataFrame:
+def macroplan(questions: DataFrame, extra: DataFrame, chunks: DataFrame, n: int, threshold: float = 0.55, horizon: int = 10, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """Answers of each question and of its n best further questions.
 
-    questions and extra have (topic, query_id, question, q, q_ord). Without further questions (n = 0)
+    questions and extra have (topic, query_id, question, q, q_ord); chunks and ``embed`` are those of ``ask``. Without further questions (n = 0)
     the question is answered alone; else contained answers merge, each stays under its best
     question, and the questions with the best first answers are kept.
     """
-    base = ask(questions, chunks, 0.0, horizon)
     if n == 0:
-        return base.join(questions.select("question", "topic", "q_ord"), "question")
+        return ask(questions, chunks, 0.0, horizon, embed=embed).join(questions.select("question", "topic", "q_ord"), "question")
     both = questions.select("topic", "query_id", "question", "q", "q_ord").unionByName(extra.select("topic", "query_id", "question", "q", "q_ord"))
     distinct = first_seen(both.withColumn("_fold", F.lower("question")), ["topic", "_fold"], [F.col("q_ord")]).drop("_fold")
     # Answers are few for each question and feed several joins: compute them once.
-    answers = cut(ask(distinct, chunks, threshold, horizon).join(distinct.select("question", "topic", "q_ord"), "question"))
+    answers = cut(ask(distinct, chunks, threshold, horizon, embed=embed).join(distinct.select("question", "topic", "q_ord"), "question"))
     best = cut(best_question(merge_contained(answers)))
     kept = top_questions(best, n, ["topic"])
     return best.join(kept.select("topic", "question"), ["topic", "question"], "left_semi")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.operators import ordered, planner, vectors
+from loomtrace.operators import ordered, planner
 from loomtrace.plans import graph, misc, more, planning, retrieval, stats, text  # noqa: F401  (they register their queries)
 from loomtrace.plans.catalogue import table
+from loomtrace.providers import embed
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each benchmark passage the ten most similar distinct chunks of the documents, with their pages."""
-    words = lambda t: F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ", -1).alias("w"))
     parts = docs.select("doc_id", F.size("w").alias("n"), F.posexplode(ordered.token_windows(F.col("w"))).alias("i", "part"))
     start = F.col("i") * 75
@@ -22,6 +22,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("part", " ").alias("text"),
         ordered.page_range(page(start), page(F.least(start + 149, F.col("n") - 1))).alias("page_id"),
     )
-    chunks = chunks.withColumn("v", vectors.hashed_vector(words(F.col("text"))))
-    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), vectors.hashed_vector(words(F.col("text"))).alias("q"))
-    return planner.ask(questions, chunks)
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), embed(F.col("text")).alias("q"))
+    return planner.ask(questions, chunks, embed=embed)

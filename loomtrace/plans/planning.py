@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from loomtrace.operators import planner
 from loomtrace.operators.ordered import token_windows
-from loomtrace.operators.vectors import hashed_vector
 from loomtrace.plans.catalogue import query, table
+from loomtrace.providers import embed
 
 _LINES = "l AS (SELECT DISTINCT {g}, t AS text FROM (SELECT {g}, unnest(string_split(text, chr(10))) AS t FROM {t}) WHERE t <> '')"
 
@@ -88,12 +88,11 @@ def prompt_contents(spark, sf):
 
 @query("macroplan")
 def macroplan(spark, sf):
-    words = lambda t: F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     k = F.col("item_id")
     # Every twentieth item is a question; the ones up to the next are its further questions.
-    items = table(spark, sf, "benchmark").select(F.floor(k / 20).alias("topic"), k.alias("query_id"), F.col("text").alias("question"), hashed_vector(words(F.col("text"))).alias("q"), k.alias("q_ord"))
-    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(token_windows(F.split("text", " ", -1))).alias("i", "part"))
+    items = table(spark, sf, "benchmark").select(F.floor(k / 20).alias("topic"), k.alias("query_id"), F.col("text").alias("question"), embed(F.col("text")).alias("q"), k.alias("q_ord"))
+    # Joined before they become rows, as a row of tokens takes longer to copy than its text.
+    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(F.transform(token_windows(F.split("text", " ", -1)), lambda part: F.array_join(part, " "))).alias("i", "text"))
     name = F.concat_ws("-", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("i").cast("string"), 6, "0"))
-    chunks = docs.select(name.alias("doc_id"), F.array_join("part", " ").alias("text"), (F.floor(F.col("i") / 4) + 1).cast("string").alias("page_id"))
-    chunks = chunks.withColumn("v", hashed_vector(words(F.col("text"))))
-    return planner.macroplan(items.where("query_id % 20 = 0"), items.where("query_id % 20 <> 0"), chunks, 5, 0.55).select("topic", "question", "rank", "sentence", "confidence")
+    chunks = docs.select(name.alias("doc_id"), "text", (F.floor(F.col("i") / 4) + 1).cast("string").alias("page_id"))
+    return planner.macroplan(items.where("query_id % 20 = 0"), items.where("query_id % 20 <> 0"), chunks, 5, 0.55, embed=embed).select("topic", "question", "rank", "sentence", "confidence")
